@@ -83,10 +83,13 @@ def template_name(
     out = F.lit(pattern) if isinstance(pattern, str) else pattern
     for token, value in values.items():
         out = F.replace(out, F.lit(token), value)
-    out = sanitise(out)
-    ends = F.endswith(F.lower(out), P.suffix_lower(path))
-    out = F.when(ends, out).otherwise(F.concat(out, P.suffix(path)))
-    return F.when(out != "", out)
+
+    def with_suffix(name: Column) -> Column:
+        ends = F.endswith(F.lower(name), P.suffix_lower(path))
+        return F.nullif(F.when(ends, name).otherwise(F.concat(name, P.suffix(path))), F.lit(""))
+
+    # The one-element array names the long expression once, so it is not evaluated per use.
+    return F.transform(F.array(sanitise(out)), with_suffix)[0]
 
 
 def clean_characters(text: Column, remove_accents: bool = True, max_length: int = C.NAME_MAX_LENGTH) -> Column:

@@ -252,19 +252,22 @@ def transfer_outcome(
     same = F.coalesce(F.col("_old") == F.coalesce(expected, F.col("hash_before")), F.lit(False))
     unread = F.col("hash_before").isNull() | (F.col("hash_before") == "")
     wrong = F.coalesce(F.col("hash_before") != expected, F.lit(False))
+    def result(status: str, error: str = ""):
+        return F.struct(F.lit(status).alias("status"), F.lit(error).alias("error"))
+
     chain = (
-        F.when(F.col("_src").isNull(), F.struct(F.lit("SKIPPED").alias("status"), F.lit("Source file does not exist").alias("error")))
-        .when(F.col("_dst").isNotNull() & same, F.struct(F.lit("SKIPPED_EXISTING"), F.lit("Destination exists with matching hash")))
-        .when(unread, F.struct(F.lit("FAILED"), F.lit("Failed to compute source hash")))
-        .when(wrong, F.struct(F.lit("FAILED"), F.lit("Source hash mismatch")))
+        F.when(F.col("_src").isNull(), result("SKIPPED", "Source file does not exist"))
+        .when(F.col("_dst").isNotNull() & same, result("SKIPPED_EXISTING", "Destination exists with matching hash"))
+        .when(unread, result("FAILED", "Failed to compute source hash"))
+        .when(wrong, result("FAILED", "Source hash mismatch"))
     )
     if after is None:
-        chain = chain.otherwise(F.struct(F.lit("NEW"), F.lit("")))
+        chain = chain.otherwise(result("NEW"))
     else:
         chain = (
-            chain.when(F.col("hash_after").isNull(), F.struct(F.lit("FAILED"), F.lit(f"Copy failed after {attempts} attempts")))
-            .when(F.col("hash_after") == F.col("hash_before"), F.struct(F.lit("VERIFIED"), F.lit("")))
-            .otherwise(F.struct(F.lit("FAILED"), F.lit(f"Hash mismatch after {attempts} attempts")))
+            chain.when(F.col("hash_after").isNull(), result("FAILED", f"Copy failed after {attempts} attempts"))
+            .when(F.col("hash_after") == F.col("hash_before"), result("VERIFIED"))
+            .otherwise(result("FAILED", f"Hash mismatch after {attempts} attempts"))
         )
     final = (
         F.when(F.col("status").isin("VERIFIED", "SKIPPED", "SKIPPED_EXISTING"), "completed")

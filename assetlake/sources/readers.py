@@ -92,9 +92,10 @@ def load_audit(spark: SparkSession, path: str) -> DataFrame:
     if low.endswith(".csv"):
         return read_audit_csv(spark, path)
     if low.endswith(".json"):
-        rec = schemas.INVENTORY.replace(", ", ",").replace(" ", ":").replace(",", ", ")
+        # Values arrive as text or numbers; both are read as text and typed afterwards.
+        rec = ", ".join(f"{part.split(' ')[0]}:string" for part in schemas.INVENTORY.split(", "))
         doc = spark.read.schema(f"file_records array<struct<{rec}>>").json(path, multiLine=True)
-        return doc.select(F.explode("file_records").alias("r")).select("r.*")
+        return to_inventory(doc.select(F.explode("file_records").alias("r")).select("r.*"))
     raise ValueError(f"audit data must be .csv or .json: {path}")
 
 

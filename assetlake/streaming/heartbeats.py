@@ -76,8 +76,8 @@ class Timeout(StatefulProcessor):
 def stale_events(beats: DataFrame, delay: str = "1 minute", minutes: int = C.STALE_MINUTES) -> DataFrame:
     """FAILED events of tasks without a beat for some minutes of event time.
 
-    Beats are first thinned to one per task and second, so a task with very many beats sends
-    few rows to its state. Beats later than the watermark are dropped. The last silent task is
+    Only the task and the time reach the state, and a batch holds as many beats as the source
+    admits per trigger. Beats later than the watermark are dropped. The last silent task is
     reported when any later beat moves the watermark past its limit.
     """
     use_rocksdb(beats.sparkSession)

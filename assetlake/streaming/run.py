@@ -17,7 +17,9 @@ def use_rocksdb(spark: SparkSession) -> None:
 def read_table_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
     """A Parquet table as a stream, with the table's own schema."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    # A pattern for one name: the table may be a folder or a single file.
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{folder}/{{{name}}}")
 
 
 def drain_append(stream: DataFrame, name: str) -> DataFrame:

@@ -228,7 +228,7 @@ class Tables:
     @cached_property
     def cat_develop(self) -> DataFrame:
         k = F.col("c_custkey")
-        return self.read("customer").filter("c_custkey % 2 = 0").select(
+        return self.read("customer").filter("c_acctbal > 0").select(
             k.alias("id"), F.when(k % 4 == 0, F.col("c_acctbal")).alias("exposure"),
             F.when(k % 6 == 0, F.lit(0.1)).alias("cropTop"), F.lit("11.0").alias("processVersion"),
         )
@@ -246,7 +246,7 @@ class Tables:
 
     @cached_property
     def cat_keyword_images(self) -> DataFrame:
-        return self.read("customer").filter("c_nationkey % 5 <> 0").select(
+        return self.read("customer").filter("c_mktsegment <> 'BUILDING'").select(
             F.col("c_nationkey").cast("long").alias("id_keyword"), F.col("c_custkey").alias("id_image"),
         )
 
@@ -344,12 +344,12 @@ SELECT c_custkey AS id, c_custkey AS id_file, CASE WHEN c_custkey % 7 <> 6 THEN
   CAST(c_custkey % 3 - 1 AS INTEGER) AS pickFlags, TIMESTAMP '2023-01-01' + to_seconds((c_custkey * 7919) % 31536000) AS captureTime FROM customer""",
     "cat_develop": """
 SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN c_acctbal END AS exposure, CASE WHEN c_custkey % 6 = 0 THEN CAST(0.1 AS DOUBLE) END AS cropTop,
-  '11.0' AS processVersion FROM customer WHERE c_custkey % 2 = 0""",
+  '11.0' AS processVersion FROM customer WHERE c_acctbal > 0""",
     "cat_keywords": """
 SELECT CAST(r_regionkey + 1000 AS BIGINT) AS id, r_name AS name, CAST(NULL AS BIGINT) AS parent FROM region
 UNION ALL SELECT CAST(n_nationkey AS BIGINT), n_name, CAST(n_regionkey + 1000 AS BIGINT) FROM nation""",
     "cat_keyword_images": """
-SELECT CAST(c_nationkey AS BIGINT) AS id_keyword, c_custkey AS id_image FROM customer WHERE c_nationkey % 5 <> 0""",
+SELECT CAST(c_nationkey AS BIGINT) AS id_keyword, c_custkey AS id_image FROM customer WHERE c_mktsegment <> 'BUILDING'""",
 }
 
 
