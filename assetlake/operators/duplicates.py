@@ -41,7 +41,7 @@ def exact_groups(files: DataFrame) -> DataFrame:
 def exact_members(files: DataFrame) -> DataFrame:
     """Every file of a duplicate group, with the group's columns."""
     groups = exact_groups(files).withColumnRenamed("size_bytes", "group_size")
-    return attach(_hashed(files), groups, ["sha256"], weight="copies", spread=F.xxhash64("path"))
+    return attach(_hashed(files), groups, ["sha256"])
 
 
 def exact_group_lists(files: DataFrame, part_rows: int = 10_000) -> DataFrame:
@@ -88,7 +88,7 @@ def recommendations(files: DataFrame, order: Sequence[Column] | None = None, roo
     )
     keep = path == F.col("keep_path")
     modified = F.coalesce("modified", F.lit("")) if "modified" in files.columns else F.lit("")
-    return attach(_hashed(files), keepers, ["sha256"], weight="copies", spread=F.xxhash64("path")).select(
+    return attach(_hashed(files), keepers, ["sha256"]).select(
         F.when(keep, "KEEP").otherwise("DELETE").alias("action"), "path", P.name(path).alias("filename"),
         F.col("sha256").alias("hash"), F.col("group_size").alias("size_bytes"),
         F.when(keep, "First in duplicate group (preferred path)").otherwise(F.concat(F.lit("Duplicate of "), "keep_name")).alias("reason"),
@@ -331,7 +331,7 @@ def review_plan(files: DataFrame, links: DataFrame | None = None) -> DataFrame:
     keep = F.col("path") == F.col("first_path")
     for c in lead:
         keep = keep & (F.col(c) == F.col(f"_{c}"))
-    exact = attach(_hashed(files), numbered, ["sha256"], weight="copies", spread=F.xxhash64("path")).select(
+    exact = attach(_hashed(files), numbered, ["sha256"]).select(
         F.when(keep, "KEEP").otherwise("REVIEW").alias("action"), "path",
         F.when(keep, "First in duplicate group").otherwise(F.concat(F.lit("Duplicate of "), "first_path")).alias("reason"),
         "size_bytes", flag.alias("in_catalog"), F.concat(F.lit("exact_group_"), F.col("_i").cast("string")).alias("duplicate_group"))

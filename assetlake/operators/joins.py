@@ -289,7 +289,7 @@ def raw_jpg_pairs(files: DataFrame, jpg: Sequence[str] = (".jpg",), path: str =
     p = F.col(path)
     kept = files.filter(P.suffix_lower(p).isin(*C.RAW_SUFFIXES, *jpg)).withColumn("pair_base", P.without_suffix(p))
     groups = kept.groupBy("pair_base").agg(F.count("*").alias("pair_files")).filter("pair_files > 1")
-    return attach(kept, groups, ["pair_base"], weight="pair_files")
+    return attach(kept, groups, ["pair_base"])
 
 
 def pair_by_time(

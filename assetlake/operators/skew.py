@@ -4,7 +4,7 @@ A key may hold a third of all rows, so no helper here sorts or collects a whole
 one task:
 
 * ``best_per_key`` reduces before the shuffle,
-* ``attach`` joins a one-row-per-key table back, splitting the heavy keys,
+* ``attach`` joins a one-row-per-key table back; the adaptive skew join splits heavy keys,
 * ``number_rows`` numbers a sorted table without a one-partition window,
 * ``running_total`` and ``carry_forward`` run ordered logic over bounded blocks and pass
   only one row per block between them,
@@ -52,28 +52,14 @@ def best_per_key(
     return out.select(*keys, *[F.col(f"_best.{k}").alias(k) for k in keep], *kept)
 
 
-def attach(
-    df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner",
-    weight: str | None = None, split_rows: int = 5_000_000, spread: Column | None = None,
-) -> DataFrame:
+def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a table with one row per key back to its rows.
 
-    With ``weight`` (a column of ``per_key`` with the row count of the key) heavy keys are
-    split: a key of ``n`` rows gets ``ceil(n / split_rows)`` copies, and its rows are spread
-    over them. The list of heavy keys has at most ``rows / split_rows`` entries. Without
-    ``weight`` the adaptive skew join does the splitting at run time.
+    Only ``df`` can be skewed here. Where one key fills a shuffle partition, the adaptive skew
+    join (see ``session.tune``) splits that partition over many tasks and repeats the single
+    row of ``per_key`` in each; the outcome of the split is the same join.
     """
-    if weight is None:
-        return df.join(per_key, list(keys), how)
-    copies = F.ceil(F.col(weight) / F.lit(split_rows)).cast("int")
-    heavy = per_key.filter(F.col(weight) > split_rows).select(*keys, copies.alias("_copies"))
-    spread = F.xxhash64(*df.columns) if spread is None else spread
-    # At most rows / split_rows entries, so the broadcast side is bounded.
-    left = df.join(F.broadcast(heavy), list(keys), "left").withColumn(
-        "_salt", F.pmod(spread, F.coalesce("_copies", F.lit(1))).cast("int")
-    ).drop("_copies")
-    right = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(copies, F.lit(1)) - 1)))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return df.join(per_key, list(keys), how)
 
 
 def number_rows(

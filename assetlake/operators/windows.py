@@ -38,7 +38,7 @@ def pair_sequence(files: DataFrame, base: str = "pair_base", path: str = "path",
     """Numbers over sorted files, one number for all files that share a base."""
     firsts = files.groupBy(base).agg(F.min(path).alias("_first"), F.count("*").alias("_n"))
     numbered = number_rows(firsts, ["_first"], name=name)
-    return attach(files, numbered.select(base, "_n", name), [base], weight="_n", spread=F.xxhash64(path)).drop("_n")
+    return attach(files, numbered.select(base, "_n", name), [base]).drop("_n")
 
 
 def flag_conflicts(plan: DataFrame, target: Column, order: Sequence[str | Column], name: str = "conflict") -> DataFrame:
@@ -47,7 +47,7 @@ def flag_conflicts(plan: DataFrame, target: Column, order: Sequence[str | Column
     marks = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
     firsts = keyed.groupBy("_t").agg(F.min(marks).alias("_first"), F.count("*").alias("_n"))
     return (
-        attach(keyed, firsts.filter("_n > 1"), ["_t"], "left", weight="_n")
+        attach(keyed, firsts.filter("_n > 1"), ["_t"], "left")
         .withColumn(name, F.coalesce(marks != F.col("_first"), F.lit(False)))
         .drop("_t", "_first", "_n")
     )

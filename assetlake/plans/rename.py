@@ -11,9 +11,8 @@ from assetlake.functions import constants as C
 from assetlake.functions import dates as D
 from assetlake.functions import names as N
 from assetlake.functions import paths as P
-from assetlake.operators.joins import raw_jpg_pairs
-from assetlake.operators.skew import attach
-from assetlake.operators.windows import bursts, flag_conflicts, pair_sequence, sequence
+from assetlake.operators.skew import attach, number_rows
+from assetlake.operators.windows import bursts, flag_conflicts, sequence
 
 
 def _classified(files: DataFrame) -> DataFrame:
@@ -62,25 +61,24 @@ def template_plan(files: DataFrame, pattern: str | Column, existing: DataFrame |
     pair (least path) gives the metadata. Adds ``renamed`` and ``conflict``: a name used
     before in the plan, or the path of an existing file.
     """
-    path = F.col("path")
-    kept = files.filter(P.suffix_lower(path).isin(*C.TEMPLATE_SUFFIXES))
-    pairs = raw_jpg_pairs(kept.select("path")).select(path.alias("_p"), "pair_base")
-    based = kept.join(pairs, path == F.col("_p"), "left").drop("_p").withColumn("_base", F.coalesce("pair_base", "path"))
-    numbered = pair_sequence(based, "_base")
-    lead = numbered.groupBy("_base").agg(F.min("path").alias("_lead"), F.count("*").alias("_n"))
-    head = (
-        numbered.join(lead.select(F.col("_lead").alias("path")), "path", "left_semi")
-        .select("_base", P.stem(N.template_name(
-            pattern, path, D.parse_taken(F.col("date_taken")), D.parse_taken(F.col("modified")), F.col("seq"),
-            F.col("camera_make"), F.col("camera_model"), _opt(files, "lens_model"), _opt(files, "iso"), _opt(files, "focal_length"),
-        )).alias("_stem"))
-        .join(lead.select("_base", "_n"), "_base")
-    )
-    plan = attach(numbered.select("path", "seq", "pair_base", "_base"), head, ["_base"], weight="_n", spread=F.xxhash64("path"))
-    plan = plan.select(
-        path.alias("source"), P.join_path(P.parent(path), F.concat("_stem", P.suffix(path))).alias("destination"),
-        F.concat("_stem", P.suffix(path)).alias("new_name"), "pair_base", "seq")
-    plan = plan.withColumn("renamed", F.col("new_name") != P.name(F.col("source")))
+    path, sfx = F.col("path"), P.suffix_lower(F.col("path"))
+    # A pair shares folder and stem; any other file stands alone under its full path.
+    base = F.when(sfx.isin(*C.RAW_SUFFIXES, ".jpg"), P.without_suffix(path)).otherwise(path)
+    kept = files.filter(sfx.isin(*C.TEMPLATE_SUFFIXES)).withColumn("_base", base)
+    facts = {k: _opt(files, k) for k in ("date_taken", "modified", "camera_make", "camera_model", "lens_model", "iso", "focal_length")}
+    lead = F.min(F.struct(path.alias("path"), *[v.cast("string").alias(k) for k, v in facts.items()]))
+    groups = kept.groupBy("_base").agg(lead.alias("_lead"), F.count("*").alias("_n"))
+    heads = number_rows(groups.select("_base", "_n", "_lead.*"), ["path"])
+    stems = heads.select(
+        "_base", "seq", F.when(F.col("_n") > 1, F.col("_base")).alias("pair_base"),
+        P.stem(N.template_name(
+            pattern, path, D.parse_taken(F.col("date_taken")), D.parse_taken(F.col("modified")), F.col("seq"), F.col("camera_make"),
+            F.col("camera_model"), F.col("lens_model"), F.col("iso"), F.col("focal_length"))).alias("_stem"))
+    named = attach(kept.select("path", "_base"), stems, ["_base"]).select(
+        path.alias("source"), F.concat("_stem", P.suffix(path)).alias("new_name"), "pair_base", "seq")
+    plan = named.select(
+        "source", P.join_path(P.parent(F.col("source")), F.col("new_name")).alias("destination"), "new_name", "pair_base", "seq",
+        (F.col("new_name") != P.name(F.col("source"))).alias("renamed"))
     return flag_template_conflicts(plan, existing)
 
 
