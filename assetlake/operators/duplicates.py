@@ -181,15 +181,15 @@ def plan_bands(bits: int, threshold: int, hashes: int, max_ball: int = 20_000) -
     return best
 
 
-def _bands(bits_col: Column, bits: int, m: int) -> Column:
-    """Slice values as longs. A slice wider than 60 bits is represented by its first 60,
-    which can only add candidates."""
+def _slices(bits: int, m: int) -> list[tuple[int, int]]:
+    """Start and width of each slice. A slice wider than 60 bits is represented by its first
+    60, which can only add candidates."""
     out, start = [], 0
     for i in range(m):
         width = bits // m + (1 if i < bits % m else 0)
-        out.append(F.conv(F.substring(bits_col, start + 1, min(width, 60)), 2, 10).cast("long"))
+        out.append((start, min(width, 60)))
         start += width
-    return F.array(*out)
+    return out
 
 
 def _masks(width: int, radius: int) -> list[int]:
@@ -223,32 +223,34 @@ def near_hash_pairs(
     m, r = plan.bands, plan.radius
     if threshold // m > r:
         raise ValueError(f"{m} slices need a radius of {threshold // m} for threshold {threshold}")
-    base = h.withColumns({"w": H.hash_words(F.col("phash")), "b": _bands(H.hex_to_bits(F.col("phash")), bits, m)})
-    right = base.select(F.col("phash").alias("phash_2"), F.col("w").alias("w2"), F.col("b").alias("b2"),
-                        F.posexplode("b").alias("band", "value"))
-    left = base.select(F.col("phash").alias("phash_1"), F.col("w").alias("w1"), F.col("b").alias("b1"),
-                       F.posexplode("b").alias("band", "v"))
+    slices, words = _slices(bits, m), range(-(-bits // 64))
+    text = h.withColumn("_bits", H.hex_to_bits(F.col("phash")))
+    base = text.select(
+        "phash", *[F.conv(F.substring("phash", 16 * i + 1, 16), 16, -10).cast("long").alias(f"w{i}") for i in words],
+        *[F.conv(F.substring("_bits", at + 1, width), 2, 10).cast("long").alias(f"s{i}") for i, (at, width) in enumerate(slices)])
+    one, two = (base.withColumnsRenamed({c: f"{c}_{k}" for c in base.columns}) for k in (1, 2))
+    right = two.select("*", F.posexplode(F.array(*[f"s{i}_2" for i in range(m)])).alias("band", "value"))
     if r:
-        # Probe values around each slice; the number per width is fixed by plan_bands.
-        by_width = {min(bits // m + (1 if i < bits % m else 0), 60) for i in range(m)}
-        lists = {w: F.array(*[F.lit(x).cast("long") for x in _masks(w, r)]) for w in by_width}
-        pick = None
-        for i in range(m):
-            masks = lists[min(bits // m + (1 if i < bits % m else 0), 60)]
-            pick = F.when(F.col("band") == i, masks) if pick is None else pick.when(F.col("band") == i, masks)
-        left = left.withColumn("_mask", F.explode(pick)).withColumn("value", F.col("v").bitwiseXOR(F.col("_mask"))).drop("_mask")
+        # Probe values around each slice; plan_bands bounds their number.
+        masks = {w: F.split(F.lit(" ".join(map(str, _masks(w, r)))), " ").cast("array<bigint>") for w in {w for _, w in slices}}
+        probes = F.array(*[F.transform(masks[w], _xor_with(f"s{i}_1")) for i, (_, w) in enumerate(slices)])
+        left = one.select("*", F.posexplode(probes).alias("band", "_p")).withColumn("value", F.explode("_p")).drop("_p")
     else:
-        left = left.withColumnRenamed("v", "value")
-    meets = F.transform(F.zip_with("b1", "b2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), lambda d: d <= r)
+        left = one.select("*", F.posexplode(F.array(*[f"s{i}_1" for i in range(m)])).alias("band", "value"))
+    near = F.array(*[F.bit_count(F.col(f"s{i}_1").bitwiseXOR(F.col(f"s{i}_2"))) <= r for i in range(m)])
+    distance = sum((F.bit_count(F.col(f"w{i}_1").bitwiseXOR(F.col(f"w{i}_2"))) for i in words), F.lit(0)).cast("int")
     return (
-        left.join(right, ["band", "value"]).filter("phash_1 < phash_2")
-        .withColumn("distance", H.word_distance(F.col("w1"), F.col("w2")))
-        .filter(F.col("distance") <= threshold)
-        .filter(F.array_position(meets, True) - 1 == F.col("band"))
+        left.join(right, ["band", "value"]).filter(F.col("phash_1") < F.col("phash_2"))
+        .withColumn("distance", distance).filter(F.col("distance") <= threshold)
+        .filter(F.array_position(near, True) - 1 == F.col("band"))
         .select("phash_1", "phash_2", "distance")
     )
 
 
+def _xor_with(column: str):
+    return lambda mask: mask.bitwiseXOR(F.col(column))
+
+
 def near_duplicates(
     files: DataFrame, bits: int, threshold: int = C.NEAR_DUPLICATE_BITS, plan: BandPlan | None = None,
 ) -> DataFrame:
@@ -258,7 +260,8 @@ def near_duplicates(
     links to itself at distance 0. Files with equal content are exact duplicates and form no
     pair. ``near_members`` lists the files.
     """
-    hashes = hash_table(files)
+    # Read by several steps below; distinct hashes are few against the files.
+    hashes = pin(hash_table(files))
     one, two = ({c: f"{c}_{i}" for c in ("phash", "files", "contents")} for i in (1, 2))
     across = near_hash_pairs(hashes, bits, threshold, plan).join(hashes.withColumnsRenamed(one), "phash_1").join(
         hashes.withColumnsRenamed(two), "phash_2")
