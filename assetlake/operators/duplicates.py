@@ -121,9 +121,9 @@ def two_stage_groups(files: DataFrame, content: str = "content") -> DataFrame:
     """
     screened = files.select("path", "size_bytes", H.quick_hash(F.col(content)).alias("quick"))
     sizes = files.groupBy("size_bytes").agg(F.count("*").alias("n")).filter("n > 1")
-    screened = screened.join(sizes, "size_bytes", "left_semi")
+    screened = attach(screened, sizes, ["size_bytes"], "left_semi")
     alike = screened.groupBy("size_bytes", "quick").agg(F.count("*").alias("n")).filter("n > 1")
-    paths = screened.join(alike, ["size_bytes", "quick"], "left_semi").select("path")
+    paths = attach(screened, alike, ["size_bytes", "quick"], "left_semi").select("path")
     full = files.join(paths, "path", "left_semi").select("path", "size_bytes", F.sha2(F.col(content), 256).alias("sha256"))
     return exact_groups(full)
 
@@ -142,7 +142,7 @@ def unreviewed_groups(groups: DataFrame, members: DataFrame, assets: DataFrame,
     The text of a very long group comes in parts; count and size are those of the whole group.
     """
     open_groups = groups.filter("not reviewed").select(F.col("id").alias("group_id"), "sha256_hash")
-    rows = members.join(open_groups, "group_id").join(
+    rows = attach(members, open_groups, ["group_id"]).join(
         assets.select(F.col("id").alias("asset_id"), "file_path", "file_size_bytes"), "asset_id")
     totals = rows.groupBy("group_id").agg(
         F.first("sha256_hash").alias("sha256_hash"), F.count("asset_id").alias("duplicate_count"),
@@ -311,12 +311,12 @@ def _edge_mark(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return attach(both.filter("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    linked = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    linked = attach(edges, least, ["u"]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 

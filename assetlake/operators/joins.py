@@ -165,7 +165,7 @@ def moved_files(missing: DataFrame, orphan: DataFrame) -> DataFrame:
     """
     where = orphan.filter(F.col("sha256") != "").groupBy("sha256").agg(
         F.min("path").alias("found_path"), F.count("*").alias("places"))
-    return missing.filter(F.col("sha256") != "").select(F.col("path").alias("missing_path"), "sha256").join(where, "sha256")
+    return attach(missing.filter(F.col("sha256") != "").select(F.col("path").alias("missing_path"), "sha256"), where, ["sha256"])
 
 
 def reconcile(catalog: DataFrame, disk: DataFrame, suffixes: Sequence[str] = C.CATALOG_SUFFIXES) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assetlake.functions import constants as C
 from assetlake.functions import dates as D
+from assetlake.operators.skew import attach
 
 
 def value_violations(
@@ -54,9 +55,9 @@ def cascade_delete(child: DataFrame, parent: DataFrame, foreign: str, primary: s
 
 def set_null_on_delete(child: DataFrame, parent: DataFrame, foreign: str, primary: str = "id") -> DataFrame:
     """All child rows, with a foreign key set to null where its parent is gone."""
-    keys = parent.select(F.col(primary).alias("_parent")).dropDuplicates(["_parent"])
-    out = child.join(keys, F.col(foreign) == F.col("_parent"), "left")
-    return out.withColumn(foreign, F.when(F.col("_parent").isNotNull(), F.col(foreign))).drop("_parent")
+    keys = parent.select(F.col(primary).alias(foreign)).dropDuplicates([foreign]).withColumn("_found", F.lit(True))
+    out = attach(child, keys, [foreign], "left")
+    return out.withColumn(foreign, F.when(F.col("_found"), F.col(foreign))).drop("_found").select(*child.columns)
 
 
 def date_drift(df: DataFrame, exif: str, modified: str, limit: int = C.EXIF_DRIFT_SECONDS) -> DataFrame:
@@ -68,7 +69,7 @@ def ingested_share(incoming: DataFrame, library: DataFrame, key: str = "sha256")
     known = library.select(key).dropDuplicates([key]).withColumn("_known", F.lit(1))
     share = F.col("already") / F.greatest("files", F.lit(1))
     return (
-        incoming.join(known, key, "left")
+        attach(incoming.select(key), known, [key], "left")
         .agg(F.count("*").alias("files"), F.count("_known").alias("already"))
         .withColumn("share", share)
         .withColumn(

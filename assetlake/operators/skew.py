@@ -28,12 +28,11 @@ def _col(c: str | Column) -> Column:
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on equal names where null matches null; key columns come from the left."""
     tmp = {k: f"_r_{k}" for k in keys}
-    renamed = right.withColumnsRenamed(tmp)
     on = None
     for k in keys:
-        cond = left[k].eqNullSafe(renamed[tmp[k]])
+        cond = F.col(k).eqNullSafe(F.col(tmp[k]))
         on = cond if on is None else on & cond
-    return left.join(renamed, on, how).drop(*tmp.values())
+    return left.join(right.withColumnsRenamed(tmp), on, how).drop(*tmp.values())
 
 
 def best_per_key(
@@ -52,14 +51,19 @@ def best_per_key(
     return out.select(*keys, *[F.col(f"_best.{k}").alias(k) for k in keep], *kept)
 
 
-def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join a table with one row per key back to its rows.
+def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "inner", null_safe: bool = False) -> DataFrame:
+    """Join a table with one row per key back to its rows, where a key may be very heavy.
 
-    Only ``df`` can be skewed here. Where one key fills a shuffle partition, the adaptive skew
-    join (see ``session.tune``) splits that partition over many tasks and repeats the single
-    row of ``per_key`` in each; the outcome of the split is the same join.
+    The adaptive skew join splits a heavy shuffle partition of ``df`` over many tasks, but only
+    between two plain shuffles. A ``per_key`` table that comes out of an aggregate is already
+    partitioned by the key and would join without a shuffle of its own, and so without the
+    split. The second join key, a hash of the keys, asks for one: the small side is shuffled
+    again and the heavy side can be split.
     """
-    return df.join(per_key, list(keys), how)
+    left = df.withColumn("_j", F.xxhash64(*keys))
+    right = per_key.withColumn("_j", F.xxhash64(*keys))
+    out = null_safe_join(left, right, [*keys, "_j"], how) if null_safe else left.join(right, [*keys, "_j"], how)
+    return out.drop("_j")
 
 
 def number_rows(
@@ -88,6 +92,9 @@ def number_rows(
         "_part", *by,
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
+    if not by:
+        # One row per partition.
+        offsets = F.broadcast(offsets)
     return null_safe_join(placed, offsets, ["_part", *by]).select(
         *cols, (F.col("_pos") + F.col("_shift") + 1).cast("long").alias(name)
     )

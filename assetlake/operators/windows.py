@@ -68,7 +68,7 @@ def bursts(df: DataFrame, taken: str, by: str, gap: int = C.BURST_GAP_SECONDS, l
     sized = isles.groupBy(by, "_isle").agg(F.sum("_n").alias("burst_size"), F.min("_s").alias("_from"), F.min("_day").alias("_day"))
     real = running_total(sized.filter(F.col("burst_size") >= least), [by], "_day", ["_from"], F.lit(1), "burst_index")
     marked = null_safe_join(isles.select(by, "_s", "_isle"), real.select(by, "_isle", "burst_index", "burst_size"), [by, "_isle"], "left")
-    return null_safe_join(timed, marked.select(by, "_s", "burst_index", "burst_size"), [by, "_s"], "left").drop("_s")
+    return attach(timed, marked.select(by, "_s", "burst_index", "burst_size"), [by, "_s"], "left", null_safe=True).drop("_s")
 
 
 def month_change(monthly: DataFrame, value: str, month: str = "month") -> DataFrame:

@@ -232,7 +232,7 @@ def backup_phase(t):
 
 
 @query("T10_camera_time_to_utc", """
-SELECT asset_id, strftime(modified_ts + to_hours(CASE WHEN modified_ts >= TIMESTAMP '2023-03-12 02:00:00' AND modified_ts < TIMESTAMP '2023-11-05 02:00:00' THEN 6 ELSE 7 END),
+SELECT asset_id, strftime(modified_ts + to_hours(CASE WHEN modified_ts >= TIMESTAMP '2023-03-12 03:00:00' AND modified_ts < TIMESTAMP '2023-11-05 02:00:00' THEN 6 ELSE 7 END),
   '%Y-%m-%d %H:%M:%S') AS utc FROM inventory""")
 def camera_to_utc(t):
     return t.inventory.select("asset_id", F.date_format(D.to_utc(D.parse_taken(c("modified"))), _FMT).alias("utc"))
