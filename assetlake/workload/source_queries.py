@@ -10,6 +10,8 @@ from assetlake.plans import transfer as X
 from assetlake.session import scratch_path
 from assetlake.sources import readers as S
 from assetlake.sources import writers as Z
+from assetlake.streaming.intake import current_inventory, start_intake
+from assetlake.streaming.run import drain_append
 from assetlake.workload.join_queries import COMPARED_SQL, backup_sides, transferred, TRANSFER_SQL
 from assetlake.workload.registry import query
 from assetlake.workload.views import AS_OF
@@ -160,14 +162,82 @@ def transfer_log(t):
     return t.spark.read.parquet(out).groupBy("status").agg(F.count("*").alias("rows"), F.sum("size_bytes").alias("bytes"))
 
 
-@query("S1_file_scan", "SELECT CAST(count(*) > 0 AS BOOLEAN) AS found, 1 AS one FROM inventory")
+_SCAN_SQL = """SELECT source, CAST(sum(strlen(path) + 1) AS BIGINT) AS bytes FROM inventory GROUP BY source"""
+
+
+def _folder(t, name):
+    """The inventory's paths as text files in one folder per source."""
+    out = scratch_path(t.spark, name)
+    t.inventory.select(c("path").alias("value"), "source").write.partitionBy("source").text(out)
+    return out
+
+
+def _by_source(files):
+    return files.groupBy(F.regexp_extract("path", "/source=([^/]+)/", 1).alias("source")).agg(F.sum("size_bytes").alias("bytes"))
+
+
+@query("S1_file_scan", _SCAN_SQL)
 def file_scan(t):
-    """S1 and M1: write one text file per hash prefix of the inventory, scan and hash the folder."""
-    out = scratch_path(t.spark, "scan")
-    t.inventory.select(c("path").alias("value"), F.substring("sha256", 1, 1).alias("prefix")).write.partitionBy("prefix").text(out)
-    files = S.scan_files(t.spark, out, suffixes=[".txt"])
-    hashed = S.hash_files(t.spark, out).select("path", "sha256")
-    return files.join(hashed, "path").agg((F.count("sha256") > 0).alias("found"), F.lit(1).alias("one"))
+    return _by_source(S.scan_files(t.spark, _folder(t, "scan")))
+
+
+@query("S2_scan_by_suffix", _SCAN_SQL)
+def scan_by_suffix(t):
+    """Suffixes in any case; the other files of the folder are left out."""
+    out = _folder(t, "suffix")
+    t.labels.write.mode("append").json(f"{out}/source=other")
+    return _by_source(S.scan_files(t.spark, out, suffixes=[".TXT"]))
+
+
+@query("S3_scan_of_several_roots", """
+SELECT 0 AS folder_index, CAST(sum(strlen(path) + 1) AS BIGINT) AS bytes FROM inventory UNION ALL SELECT 2, CAST(sum(strlen(url) + 1) AS BIGINT) FROM pages UNION ALL SELECT -1, 1""")
+def scan_roots(t):
+    """Root 1 does not exist and is reported, as index -1 here."""
+    one, two = _folder(t, "root"), scratch_path(t.spark, "root")
+    t.pages.select(c("url").alias("value")).write.text(two)
+    files, errors = S.scan_roots(t.spark, [one, f"{one}-missing", two], suffixes=[".txt"])
+    found = files.groupBy("folder_index").agg(F.sum("size_bytes").alias("bytes"))
+    return found.unionByName(errors.agg(F.count("*").alias("bytes")).select(F.lit(-1).alias("folder_index"), "bytes"))
+
+
+@query("M1_hashed_folder", "SELECT count(DISTINCT source) AS sources, true AS all_hashed FROM inventory")
+def hashed_folder(t):
+    out = _folder(t, "hash")
+    files = S.hash_files(t.spark, out).filter(F.col("path").endswith(".txt"))
+    return files.agg(F.count_distinct(F.regexp_extract("path", "/source=([^/]+)/", 1)).alias("sources"),
+                     (F.count_if(F.length("sha256") == 64) == F.count("*")).alias("all_hashed"))
+
+
+@query("S4_audit_csv_scan", _AUDIT_SQL)
+def audit_csv_scan(t):
+    out = scratch_path(t.spark, "audit-csv")
+    Z.write_csv(t.inventory.select(*_AUDIT), out)
+    return S.read_audit_csv(t.spark, out).select(*_AUDIT)
+
+
+@query("S7_newest_checkpoint", """
+SELECT arg_max(operation_id, position) AS last_completed_op_id, max(position) AS last_completed_index, count(*) AS success_count FROM manifest WHERE status = 'completed'""")
+def newest_checkpoint(t):
+    """Checkpoints of every thousand operations, then that of the whole run, in one folder."""
+    out = scratch_path(t.spark, "states")
+    done = t.manifest.filter("status = 'completed'")
+    state = (F.max_by("operation_id", "position").alias("last_completed_op_id"), F.max("position").alias("last_completed_index"), F.count("*").alias("success_count"))
+    for df in (done.groupBy(F.floor(c("position") / 1000).alias("part")).agg(*state).drop("part"), done.agg(*state)):
+        docs = df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+        docs.write.mode("append").option("maxRecordsPerFile", 1).text(out)
+    return S.newest_checkpoint(t.spark, out).select("last_completed_op_id", "last_completed_index", "success_count")
+
+
+@query("S12_watched_folder_stream", _SCAN_SQL)
+def watched_folder(t):
+    return _by_source(drain_append(S.watch_folder(t.spark, _folder(t, "watch"), [".txt"]), "watched"))
+
+
+@query("R7_file_intake_stream", _SCAN_SQL)
+def file_intake(t):
+    table = scratch_path(t.spark, "intake")
+    start_intake(S.watch_folder(t.spark, _folder(t, "incoming"), [".txt"]), table, f"{table}-checkpoint").awaitTermination()
+    return _by_source(current_inventory(t.spark.read.parquet(table)))
 
 
 @query("S8_tables_by_sql", "SELECT file_type, count(*) AS files FROM assets GROUP BY file_type HAVING count(*) > 1")
