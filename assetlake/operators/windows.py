@@ -23,8 +23,14 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
 
 
 def last_n(df: DataFrame, key: str, order: Sequence[str], n: int = C.HISTORY_LENGTH) -> DataFrame:
-    """The last ``n`` rows per key. Up to ``spark.sql.optimizer.windowGroupLimitThreshold``
-    rows per key, Spark cuts each map task's share of a key before the shuffle."""
+    """The last ``n`` rows per key; the order must end in a unique column.
+
+    Up to a limit (``spark.sql.optimizer.windowGroupLimitThreshold``) Spark cuts each map task's
+    share of a key before the shuffle. Beyond it the rows are numbered over all tasks.
+    """
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n > limit:
+        return number_rows(df, [F.desc(c) for c in order], [key], "_r").filter(F.col("_r") <= n).drop("_r")
     w = W.partitionBy(key).orderBy(*[F.desc(c) for c in order])
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
@@ -62,13 +68,21 @@ def bursts(df: DataFrame, taken: str, by: str, gap: int = C.BURST_GAP_SECONDS, l
     """
     timed = df.withColumn("_s", F.unix_seconds(F.col(taken).cast("timestamp")))
     secs = timed.filter("_s is not null").groupBy(by, "_s").agg(F.count("*").alias("_n")).withColumn("_day", F.floor(F.col("_s") / 86400))
-    prev = carry_forward(secs, [by], "_day", ["_s"], "_s", "_prev")
-    starts = prev.withColumn("_new", F.when(F.col("_prev").isNull() | (F.col("_s") - F.col("_prev") > gap), 1).otherwise(0))
-    isles = running_total(starts, [by], "_day", ["_s"], "_new", "_isle")
-    sized = isles.groupBy(by, "_isle").agg(F.sum("_n").alias("burst_size"), F.min("_s").alias("_from"), F.min("_day").alias("_day"))
+    in_day = W.partitionBy(by, "_day").orderBy("_s")
+    # A gap inside the day opens a new run; whether the first second does depends on earlier days.
+    marked = secs.withColumn("_gap", F.coalesce((F.col("_s") - F.lag("_s").over(in_day) > gap).cast("int"), F.lit(0)))
+    days = marked.groupBy(by, "_day").agg(F.min("_s").alias("_from"), F.max("_s").alias("_to"), F.sum("_gap").alias("_gaps"))
+    by_day = W.partitionBy(by).orderBy("_day")
+    days = days.withColumn("_opens", F.coalesce((F.col("_from") - F.lag("_to").over(by_day) > gap).cast("int"), F.lit(1)))
+    runs_before = F.coalesce(F.sum(F.col("_gaps") + F.col("_opens")).over(by_day.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    days = days.select(by, "_day", (runs_before + F.col("_opens")).alias("_base"))
+    so_far = F.sum("_gap").over(in_day.rowsBetween(W.unboundedPreceding, 0))
+    runs = null_safe_join(marked.withColumn("_run", so_far), days, [by, "_day"]).select(
+        by, "_s", "_n", "_day", (F.col("_run") + F.col("_base")).alias("_run"))
+    sized = runs.groupBy(by, "_run").agg(F.sum("_n").alias("burst_size"), F.min("_s").alias("_from"), F.min("_day").alias("_day"))
     real = running_total(sized.filter(F.col("burst_size") >= least), [by], "_day", ["_from"], F.lit(1), "burst_index")
-    marked = null_safe_join(isles.select(by, "_s", "_isle"), real.select(by, "_isle", "burst_index", "burst_size"), [by, "_isle"], "left")
-    return attach(timed, marked.select(by, "_s", "burst_index", "burst_size"), [by, "_s"], "left", null_safe=True).drop("_s")
+    found = null_safe_join(runs.select(by, "_s", "_run"), real.select(by, "_run", "burst_index", "burst_size"), [by, "_run"])
+    return attach(timed, found.select(by, "_s", "burst_index", "burst_size"), [by, "_s"], "left", null_safe=True).drop("_s")
 
 
 def month_change(monthly: DataFrame, value: str, month: str = "month") -> DataFrame:

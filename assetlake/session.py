@@ -30,12 +30,14 @@ def tune(spark: SparkSession) -> SparkSession:
     """Settings that can still change on a running session.
 
     ``forceOptimizeSkewedJoin`` lets adaptive execution split a hot join key even where the
-    split costs one more shuffle further up.
+    split costs one more shuffle further up. Co-partitioning on all join keys is what lets
+    ``skew.attach`` ask for a shuffle of the small side.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
     return spark
 
 

@@ -98,6 +98,29 @@ def test_last_n_cuts_before_the_shuffle(spark):
     assert out.filter("k = 'hot'").count() == 5
 
 
+def test_last_n_beyond_the_limit(wide):
+    df = hot_rows(wide)
+    got = {r.id for r in Q.last_n(df, "k", ["t", "id"], 1200).collect()}
+    w = W.partitionBy("k").orderBy(F.desc("t"), F.desc("id"))
+    assert got == {r.id for r in df.withColumn("rn", F.row_number().over(w)).filter("rn <= 1200").collect()}
+
+
+def test_bursts_match_plain_windows(spark):
+    """Long chains over midnight, many files in one second, a missing camera, missing times."""
+    r = random.Random(9)
+    rows = [(r.choice(["a", "b", None]), 86400 * r.randrange(3) + r.choice([86390 + r.randrange(10), r.randrange(15), 40000 + r.randrange(3000)]), i) for i in range(1500)]
+    rows += [("a", 50000, 2000 + i) for i in range(700)] + [("a", None, 9999)]
+    df = spark.createDataFrame(rows, "cam string, s long, id long").withColumn("t", F.timestamp_seconds("s"))
+    w = W.partitionBy("cam").orderBy("s", "id")
+    runs = df.filter("s is not null").withColumn("new", F.when(F.col("s") - F.lag("s").over(w) <= 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
+    size = F.count("*").over(W.partitionBy("cam", "run"))
+    real = runs.withColumn("n", size).filter("n >= 3").withColumn("idx", F.dense_rank().over(W.partitionBy("cam").orderBy("run")))
+    want = {x.id: (x.idx, x.n) for x in real.collect()}
+    out = Q.bursts(df, "t", "cam").collect()
+    assert len(out) == len(rows)
+    assert {x.id: (x.burst_index, x.burst_size) for x in out if x.burst_index is not None} == want
+
+
 def test_bursts(spark):
     rows = [("c", s, f"p{i}") for i, s in enumerate([10, 10, 10, 11, 13, 86399, 86400, 86401, 86500])]
     df = spark.createDataFrame(rows, "cam string, s long, path string").withColumn("t", F.timestamp_seconds("s"))
