@@ -136,7 +136,7 @@ def with_drive(assets: DataFrame, drives: DataFrame, path: str = "file_path", ke
     lengths = d.select(F.collect_set(F.length("mount_path"))).scalar()
     cut = assets.select(key, path).withColumn("_n", F.explode(lengths)).filter(F.col("_n") <= F.length(path)).select(
         key, F.substr(F.col(path), F.lit(1), F.col("_n")).alias("mount_path"))
-    hit = cut.join(d, "mount_path")
+    hit = attach(cut, d, ["mount_path"])
     if longest:
         hit = best_per_key(hit, [key], [F.length("mount_path"), "mount_path"], d.columns, latest=True)
     return assets.join(hit, key, "left")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from assetlake.functions import constants as C
-from assetlake.streaming.run import use_rocksdb
+from assetlake.streaming.run import prepare_stateful
 
 EVENTS = "task_id string, last_heartbeat timestamp, failed_at timestamp, status string, error_message string"
 
@@ -80,7 +80,7 @@ def stale_events(beats: DataFrame, delay: str = "1 minute", minutes: int = C.STA
     admits per trigger. Beats later than the watermark are dropped. The last silent task is
     reported when any later beat moves the watermark past its limit.
     """
-    use_rocksdb(beats.sparkSession)
+    prepare_stateful(beats.sparkSession)
     thin = beats.select("task_id", "ts").withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts"))
     return thin.groupBy("task_id").transformWithStateInPandas(
         statefulProcessor=Timeout(minutes * 60_000), outputStructType=EVENTS, outputMode="append", timeMode="eventTime")

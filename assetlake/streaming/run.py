@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+import assetlake
 from assetlake.session import scratch_path
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """Keep stream state in RocksDB, which the stateful processors need."""
+def prepare_stateful(spark: SparkSession) -> None:
+    """Keep stream state in RocksDB, which the stateful processors need, and send the
+    processors with the job, so that workers need no copy of this package."""
+    cloudpickle.register_pickle_by_value(assetlake)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
 
 
@@ -41,8 +46,6 @@ def drain_updates(stream: DataFrame, name: str) -> DataFrame:
     out = scratch_path(spark, name)
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        from pyspark.sql import functions as F
-
         # One folder per batch, so a batch that runs again replaces its own rows.
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/data/run={batch_id}")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from assetlake.functions import constants as C
-from assetlake.streaming.run import use_rocksdb
+from assetlake.streaming.run import prepare_stateful
 
 _COLUMNS = ["drive", "ts", "event_id", "event", "temperature", "threshold"]
 
@@ -49,7 +49,7 @@ def thermal_events_stream(readings: DataFrame, pause: float = C.PAUSE_CELSIUS, r
     Readings of one drive are taken in time order within a batch; a batch holds as many rows
     as the source admits per trigger.
     """
-    use_rocksdb(readings.sparkSession)
+    prepare_stateful(readings.sparkSession)
     t = F.col("temperature")
     kind = readings.schema["drive"].dataType.simpleString()
     signals = readings.filter((t >= pause) | (t <= resume)).select("drive", "ts", "event_id", "temperature")
@@ -86,7 +86,7 @@ class History(StatefulProcessor):
 
 def history_stream(readings: DataFrame, n: int = C.HISTORY_LENGTH) -> DataFrame:
     """Rolling history of the last ``n`` readings per drive, summarised per batch."""
-    use_rocksdb(readings.sparkSession)
+    prepare_stateful(readings.sparkSession)
     kind = readings.schema["drive"].dataType.simpleString()
     src = readings.select("drive", F.unix_micros("ts").alias("us"), "event_id", "temperature")
     return src.groupBy("drive").transformWithStateInPandas(
