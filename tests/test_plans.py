@@ -25,7 +25,7 @@ def test_audit_plan_numbers_only_photos(spark):
 def test_audit_plan_flags_conflicts(spark):
     rows = [("/a/x.jpg", "2025:03:15 14:30:22", "", "", "A"), ("/a/y.JPG", "2025:03:15 14:30:22", "", "", "B")]
     files = spark.createDataFrame(rows, FILES).withColumn("camera_model", F.lit("Same"))
-    plan = R.audit_plan(files, reset_on=("path",) if False else ("date_key", "path"))
+    plan = R.audit_plan(files, reset_on=("date_key", "path"))
     assert sorted(r.conflict_check for r in plan.collect()) == ["CONFLICT", "ok"]
     hashes = spark.createDataFrame([("/a/x.jpg", "a" * 64), ("/a/y.JPG", "b" * 64)], "path string, sha256 string")
     names = {r.new_path for r in R.resolve_conflicts(plan, hashes).collect()}
