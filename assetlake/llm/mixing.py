@@ -83,8 +83,9 @@ def mix(
     without words has one piece without a block. Null sources are one source; null and repeated
     keys are kept. A hot source only has more blocks: every shuffle is by block, ticket or shard.
     """
-    rows = docs.select(
-        F.col(source).alias("source"), F.col(key).alias("key"), words_in(text).alias("size"), F.xxhash64(text).alias("hash"))
+    # Pinned, so that the texts are read once and not also to sample the order.
+    rows = pin(docs.select(
+        F.col(source).alias("source"), F.col(key).alias("key"), words_in(text).alias("size"), F.xxhash64(text).alias("hash")))
     lined = pin(prefix_sums(rows, ["key", "hash", "size"], "size", by=["source"]))
     sizes = lined.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn(
         "blocks", F.ceil(F.col("source_size") / block_words))

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlake.llm import mixing, secrets, sharding
+from assetlake.llm import mixing, packing, secrets, sharding, simhash, warc
 from assetlake.llm.common import table
+from assetlake.session import scratch_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -65,6 +66,23 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def _word_tokens():
+    import public_tokenizers
+
+    return packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op8_pack_windows")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), _word_tokens)
+
+
+@query("op7_simhash_duplicates")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, folder, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op9_byte_shards")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     out = sharding.shard_by_bytes(table(spark, folder, "documents"), 8)
@@ -76,3 +94,21 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     _, _, pieces = mixing.mix(table(spark, folder, "documents"))
     return mixing.taken_words(pieces)
+
+
+_WARC_SQL = """
+with p as (select page_id, coalesce(html, '') as body from pages),
+d as (select page_id, strlen(body)::bigint as payload_bytes, sha256(body) as payload_digest,
+    min(page_id) over (partition by sha256(body)) as first from p)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 100 and first < page_id then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and first < page_id then first end as refers_to
+from d"""
+
+
+@query("op4_warc_archives", _WARC_SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, folder, "pages"), path)
+    return warc.read_archives(spark, path, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetlake.llm.common import prefix_sums
+from assetlake.session import pin
 
 
 def byte_size(text: str):
@@ -24,9 +25,10 @@ def shard_by_bytes(docs: DataFrame, shards: int, key: str = "doc_id", text: str
     A null text has size 1 and no checksum; an empty one size 1 and checksum 0. Null and
     repeated keys are kept, each with a slot. Other columns are ignored. No rows give no rows.
     """
-    rows = docs.select(
+    # Pinned, so that the texts are read once and not also to sample the order.
+    rows = pin(docs.select(
         F.col(key).alias("key"), byte_size(text).alias("size"), F.crc32(F.col(text).cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("hash"))
+        F.xxhash64(text).alias("hash")))
     placed = prefix_sums(rows, ["hash", "text_crc32", "size", "key"], "size")
     total = rows.agg(F.sum("size")).first()[0] or 1
     # In decimals: twice the bytes of a very large corpus times the shards may pass a long.
