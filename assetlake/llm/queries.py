@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlake.llm import mixing, packing, secrets, sharding, simhash, warc
+from assetlake.llm import ann, itq, mixing, packing, secrets, sharding, simhash, warc
 from assetlake.llm.common import table
 from assetlake.session import scratch_path
 
@@ -33,6 +33,27 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+@query("op2_adaptive_scan")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(table(spark, folder, "embeddings"), lambda i: i % 20 == 0)
+
+
+_LINKS_SQL = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings),
+p as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id
+  where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.95),
+r as (select a as node, b as reach from p union select r.node, p.b from r join p on r.reach = p.a),
+c as (select node, min(reach) as low from r group by node), d as (select a, count(*) as n from p group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, least(vec_id, coalesce(low, vec_id)) as component_id,
+  vec_id <= coalesce(low, vec_id) as kept
+from v left join c on node = vec_id left join d on a = vec_id"""
+
+
+@query("op3_itq_duplicates", _LINKS_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return itq.near_duplicates(table(spark, folder, "embeddings"))
+
+
 # Fixed values of the result's form: the parts between the matches give the positions.
 def _spans_sql(kind: str, rank: int, pattern: str, least: int, group: int) -> str:
     p = pattern.replace("'", "''")
