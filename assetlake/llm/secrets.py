@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlake.operators.skew import attach
-from assetlake.session import scratch_path
+from assetlake.session import pin, scratch_path
 
 
 @dataclass(frozen=True)
@@ -75,24 +75,25 @@ def rule_spans(text: Column, rule: Rule) -> Column:
     return F.when(text.rlike(rule.pattern), walked).otherwise(none)
 
 
-def empty_ledger(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], _LEDGER)
-
-
-def scan_unseen(docs: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
+def scan_unseen(docs: DataFrame, ledger: DataFrame | None, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
     """New ledger rows ``blob, rule, spans``: one for each blob and rule version not yet in the ledger.
 
-    Also a pair without findings has a row, so that it is not scanned again. Copies are one
-    blob: they meet in a partial aggregate before the shuffle, however many they are.
+    Also a pair without findings has a row, so that it is not scanned again. What the ledger lacks
+    is found from the addresses alone; only texts with something to scan go on, by a broadcast where the
+    lacking blobs are few. Copies are one blob: they meet in a partial aggregate before the
+    shuffle of the texts, however many they are. Without a ledger everything is unseen.
     """
     blobs = docs.select(content_address(text).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    names = [r.name for r in rules]
-    seen = ledger.filter(F.col("rule").isin(names)).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-    done = seen.filter(F.size("seen") == len(names)).select("blob")
-    todo = blobs.join(done, "blob", "left_anti").groupBy("blob").agg(F.first("text").alias("text")).join(seen, "blob", "left")
+    names = F.array(*[F.lit(r.name) for r in rules])
+    if ledger is None:
+        todo = blobs.groupBy("blob").agg(F.first("text").alias("text")).withColumn("lacking", names)
+    else:
+        seen = ledger.groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+        lacking = pin(blobs.select("blob").distinct().join(seen, "blob", "left").select(
+            "blob", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>"))).alias("lacking")).filter(F.size("lacking") > 0))
+        todo = attach(blobs, lacking, ["blob"]).groupBy("blob").agg(F.first("text").alias("text"), F.first("lacking").alias("lacking"))
     one = lambda r: F.when(
-        ~F.array_contains(F.coalesce("seen", F.array().cast("array<string>")), r.name),
-        F.struct(F.lit(r.name).alias("rule"), rule_spans(F.col("text"), r).alias("spans")))
+        F.array_contains("lacking", r.name), F.struct(F.lit(r.name).alias("rule"), rule_spans(F.col("text"), r).alias("spans")))
     return todo.select("blob", F.explode(F.array_compact(F.array(*[one(r) for r in rules]))).alias("row")).select("blob", "row.*")
 
 
@@ -103,7 +104,7 @@ def update_ledger(docs: DataFrame, path: str | None = None, rules: Sequence[Rule
     failure would only repeat rows, which readers drop.
     """
     spark = docs.sparkSession
-    old = empty_ledger(spark)
+    old = None
     if path is None:
         path = scratch_path(spark, "ledger")
     else:
