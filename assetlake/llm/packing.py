@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -16,31 +18,66 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 _COLUMNS = [c.split()[0] for c in _PIECES.split(", ")]
 
 
-class WordTokens:
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printing ones for themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class WordTokens(dict):
     """Token ids of whole texts, word by word through a memory of the words met.
 
     The tokenizer drops white space and joins nothing across it, so the ids of a text are those of its
     words in order. Words are cut at the six ASCII spaces only, where all of this holds whatever
-    the characters beside them. Only new words reach the tokenizer, in one batch. The memory starts anew
-    when it is full, which costs time and changes nothing.
+    the characters beside them. A sign after an ASCII letter begins a part of its own, so
+    end signs are looked up apart. A word of lower-case Latin letters needs no normalising and is
+    one part: it goes to the tokenizer's model at once. All others take the whole tokenizer. A text
+    that may hold a special token, which matches capitals exactly, is tokenized as it is. The
+    memory starts anew when it is full, which costs time and changes nothing.
     """
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    _SIGNS = b".,!?;:*$#%&|"
+    _LATIN = re.compile("[a-zß-öø-ÿ]+")
+
+    def __init__(self, path: str, most_words: int = 1_000_000):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most_words, {}
-
-    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        for text in texts:
-            words = (text or "").encode().split()
-            new = [w for w in set(words) if w not in self.known]
-            if len(self.known) + len(new) > self.most:
-                self.known, new = {}, list(set(words))
-            for word, ids in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                self.known[word] = np.array(ids.ids, dtype="<u4").tobytes()
-            yield b"".join(map(self.known.__getitem__, words))
+        self.tokenizer, self.most, self.letters = Tokenizer.from_file(path), most_words, _byte_letters()
+        self.model = self.tokenizer.model
+
+    def __missing__(self, word: bytes) -> bytes:
+        stem = word.rstrip(self._SIGNS)
+        if stem and len(stem) < len(word) and stem[-1:].isalpha():
+            ids = self[stem] + self[word[len(stem):]]
+        else:
+            text = word.decode()
+            small = text.lower()
+            if self._LATIN.fullmatch(small):
+                found = [t.id for t in self.model.tokenize(small.encode().decode("latin-1").translate(self.letters))]
+            else:
+                found = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = np.array(found, dtype="<u4").tobytes()
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def of(self, text: bytes | None) -> bytes:
+        """The ids of a text in UTF-8 as little-endian unsigned 32-bit numbers."""
+        if not text:
+            return b""
+        if b"<|" in text:
+            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return b"".join(map(self.__getitem__, text.lower().split()))
+
+
+@functools.cache
+def word_tokens(path: str) -> WordTokens:
+    """One memory for all tasks of a Python worker."""
+    return WordTokens(path)
 
 
 class Windows:
@@ -108,7 +145,7 @@ class Windows:
 def pack(docs: DataFrame, ids_of: Callable[[], Callable], end_id: int = 1, size: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
-    ``ids_of`` makes, in each task, the function from texts to ids. A document is its ids and
+    ``ids_of`` makes, in each task, the function from a text in UTF-8 to its ids. A document is its ids and
     ``end_id``. Whole windows are cut from its head; what remains is placed by ``Windows``. A task
     packs the documents of its own input partition as they come: no text or id is shuffled, and
     memory holds the open windows of one task. At the end of a partition the open windows fill each
@@ -121,7 +158,7 @@ def pack(docs: DataFrame, ids_of: Callable[[], Callable], end_id: int = 1, size:
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, windows = ids_of(), Windows(size)
+        ids_in, windows = ids_of(), Windows(size)
         number, out = TaskContext.get().partitionId() << 33, []
 
         def emit(window: list) -> None:
@@ -139,8 +176,8 @@ def pack(docs: DataFrame, ids_of: Callable[[], Callable], end_id: int = 1, size:
             return batch
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), tokens(batch.column(1).to_pylist())):
-                ids += end
+            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = ids_in(body.as_py()) + end
                 total = len(ids) // 4
                 whole = total - total % size
                 for start in range(0, whole, size):
@@ -156,4 +193,4 @@ def pack(docs: DataFrame, ids_of: Callable[[], Callable], end_id: int = 1, size:
         if out:
             yield flush()
 
-    return docs.select(docs[key].cast("long"), text).mapInArrow(run, _PIECES)
+    return docs.select(docs[key].cast("long"), docs[text].cast("binary")).mapInArrow(run, _PIECES)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlake.llm import ann, itq, mixing, packing, secrets, sharding, simhash, warc
+from assetlake.llm import ann, itq, mixing, packing, quality, secrets, sharding, simhash, warc
 from assetlake.llm.common import table
 from assetlake.session import scratch_path
 
@@ -33,6 +33,16 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+@query("op1_quality_grades")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.fit(quality.graded_labels(docs, table(spark, folder, "labels")), 3)
+    out = quality.grade_texts(docs, model)
+    return out.select(
+        "doc_id", "expected_grade", F.element_at("tails", 1).alias("p_grade_1_or_more"), F.element_at("tails", 2).alias("p_grade_2"),
+        quality.accepted().alias("kept"))
+
+
 @query("op2_adaptive_scan")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search(table(spark, folder, "embeddings"), lambda i: i % 20 == 0)
@@ -90,7 +100,7 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def _word_tokens():
     import public_tokenizers
 
-    return packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
+    return packing.word_tokens(public_tokenizers.path("word_bpe_49k.json")).of
 
 
 @query("op8_pack_windows")
