@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlake.llm import ann, itq, mixing, packing, quality, secrets, sharding, simhash, warc
+from assetlake.llm import ann, itq, licences, mixing, packing, quality, secrets, sharding, simhash, warc
 from assetlake.llm.common import table
 from assetlake.session import scratch_path
 
@@ -64,6 +64,11 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return itq.near_duplicates(table(spark, folder, "embeddings"))
 
 
+@query("op5_licences")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.licences(table(spark, folder, "documents"))
+
+
 # Fixed values of the result's form: the parts between the matches give the positions.
 def _spans_sql(kind: str, rank: int, pattern: str, least: int, group: int) -> str:
     p = pattern.replace("'", "''")
