@@ -135,7 +135,7 @@ def search(
     ``k`` candidates are all returned. Other columns are ignored.
     """
     spark = table.sparkSession
-    good = pin(vectors.usable(table, key, vector))
+    good = pin(vectors.usable(table, key, vector).withColumn("vector", F.col("vector").cast("array<double>")))
     schema = f"query_id long, rank int, {key} long, score double"
     stats = good.agg(F.count("*").alias("n"), F.max(vectors.dot("vector", "vector")).alias("longest")).first()
     if stats["n"] < 2:

@@ -105,8 +105,8 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedd
     norm = F.sqrt(vectors.dot("vector", "vector"))
     classes = pin(good.groupBy("same").agg(F.first("vector").alias("vector"), F.min("id").alias("least"), F.count("*").alias("n"))).select(
         F.monotonically_increasing_id().alias("number"), "*", norm.alias("norm")).withColumn(
-        "unit", F.transform("vector", lambda x: x / F.col("norm")))
-    rows = table.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+        "unit", F.transform("vector", lambda x: x.cast("double") / F.col("norm")))
+    rows = table.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(good.schema["vector"].dataType).alias("vector"))
     plain = rows.select(
         F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     sample = vectors.bounded_sample(classes, "unit", sample_rows)

@@ -80,6 +80,10 @@ def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
+def word_tokens_of(path: str) -> Callable[[bytes | None], bytes]:
+    return word_tokens(path).of
+
+
 class Windows:
     """Open windows by fill level, and the rule that places a piece.
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,15 +104,9 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))
 
 
-def _word_tokens():
-    import public_tokenizers
-
-    return packing.word_tokens(public_tokenizers.path("word_bpe_49k.json")).of
-
-
 @query("op8_pack_windows")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(table(spark, folder, "documents"), _word_tokens)
+    return packing.pack(table(spark, folder, "documents"), functools.partial(packing.word_tokens_of, public_tokenizers.path("word_bpe_49k.json")))
 
 
 @query("op7_simhash_duplicates")

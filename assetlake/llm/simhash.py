@@ -43,14 +43,14 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """``key, fp`` with the fingerprint as a signed long."""
+    """``key, fp, hash`` with the fingerprint as a signed long and ``_hash`` carried along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], [key, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64)), batch.column(2)], [key, "fp", "hash"])
 
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"`{key}` long, fp long")
+    return docs.select(F.col(key).cast("long").alias(key), text, "_hash").mapInArrow(run, f"`{key}` long, fp long, hash long")
 
 
 def _flips(part: Column) -> Column:
@@ -83,6 +83,17 @@ def near_pairs(prints: DataFrame) -> DataFrame:
     return met.select("a", "b")
 
 
+def _grouped(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """``key, fp, hash, component, component_id`` per row; the component is named by its least fingerprint."""
+    marked = pin(fingerprints(docs.withColumn("_hash", F.xxhash64(text)), key, text, words))
+    classes = pin(marked.groupBy("fp").agg(F.min(key).alias("_least")))
+    linked = components(near_pairs(classes), "a", "b")
+    ids = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = ids.groupBy("component").agg(F.min("_least").alias("component_id"))
+    labels = attach(ids.select("fp", "component"), least, ["component"]).select("fp", "component", "component_id")
+    return attach(marked, labels, ["fp"])
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """``key, fp, component_id`` per row: fingerprints at two bits or fewer link.
 
@@ -91,10 +102,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     reachable. A null or empty text has fingerprint zero and links like any other. Rows with a null key
     keep their fingerprint; a component with null keys alone has a null id. Repeated rows stay.
     """
-    marked = pin(fingerprints(docs, key, text, words))
-    classes = pin(marked.groupBy("fp").agg(F.min(key).alias("_least")))
-    linked = components(near_pairs(classes), "a", "b")
-    ids = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = ids.groupBy("component").agg(F.min("_least").alias("component_id"))
-    labels = attach(ids.select("fp", "component"), least, ["component"]).select("fp", "component_id")
-    return attach(marked, labels, ["fp"]).select(key, "fp", "component_id")
+    return _grouped(docs, key, text, words).select(key, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
+    """One row of ``docs`` for every group of near duplicates: the least key, null keys last.
+
+    The row is fetched by hashes of its key and text. A row repeated in both stays once.
+    """
+    last = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("hash").alias("hash"))
+    chosen = _grouped(docs, key, text, words).groupBy("component").agg(F.min(last).alias("_best")).select(
+        F.xxhash64("_best.key", "_best.hash").alias("_row"), F.col("_best.hash").alias("_hash"))
+    rows = docs.withColumns({"_hash": F.xxhash64(text)}).withColumn("_row", F.xxhash64(F.col(key).cast("long"), "_hash"))
+    return rows.join(chosen, ["_row", "_hash"], "left_semi").dropDuplicates(["_row", "_hash"]).select(*docs.columns)

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """``id, vector`` of the rows with a key and a vector of the table's most common length that
+    """``id, vector``, in floats or doubles as given, of the rows with a key and a vector of the table's most common length that
     is not zero and holds only finite numbers. Of equally common lengths the longest counts."""
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    v = F.col(vector).cast("array<double>")
+    plain = df.schema[vector].dataType.simpleString() in ("array<float>", "array<double>")
+    v = F.col(vector) if plain else F.col(vector).cast("array<double>")
     good = df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), v.alias("vector")).filter(
         F.forall("vector", finite) & F.exists("vector", lambda x: x != 0))
     lengths = good.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
@@ -42,4 +43,4 @@ def lists(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
