@@ -119,16 +119,16 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     same = lambda s, k, h: F.md5(F.to_json(F.struct(s.alias("s"), k.alias("k"), h.alias("h"))))
     _, _, pieces = mix(docs, key=key, text=text, source=source, **how)
     copies = (
-        pieces.filter("draws > 0").withColumn("_copy", F.explode(F.expr("sequence(1L, draws)")))
-        .groupBy("source", "key", "hash", "row", "size", "_copy")
-        .agg(F.sum("words").alias("_words"), F.sort_array(F.collect_list(F.struct("start", "words"))).alias("_ranges"))
-        .groupBy(same(F.col("source"), F.col("key"), F.col("hash")).alias("_id"), "size")
-        .agg(F.collect_list(F.struct("_words", "_ranges")).alias("_takes")))
-    one = docs.withColumn("_id", same(F.col(source), F.col(key), F.xxhash64(text))).dropDuplicates(["_id"])
+        pieces.filter("draws > 0").withColumn("__copy", F.explode(F.expr("sequence(1L, draws)")))
+        .groupBy("source", "key", "hash", "row", "size", "__copy")
+        .agg(F.sum("words").alias("__words"), F.sort_array(F.collect_list(F.struct("start", "words"))).alias("__ranges"))
+        .groupBy(same(F.col("source"), F.col("key"), F.col("hash")).alias("__id"), F.col("size").alias("__size"))
+        .agg(F.collect_list(F.struct("__words", "__ranges")).alias("__takes")))
+    one = docs.withColumn("__id", same(F.col(source), F.col(key), F.xxhash64(text))).dropDuplicates(["__id"])
     parts = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("_take._ranges", lambda r: F.slice(F.col("_parts"), (r["start"] + 1).cast("int"), r["words"].cast("int")))), "")
+    cut = F.array_join(F.flatten(F.transform("__take.__ranges", lambda r: F.slice(F.col("__parts"), (r["start"] + 1).cast("int"), r["words"].cast("int")))), "")
     taken = (
-        one.join(copies, "_id").withColumn("_parts", F.when(F.exists("_takes", lambda t: t["_words"] < F.col("size")), parts))
-        .withColumn("_take", F.explode("_takes")).withColumn(text, F.when(F.col("_take._words") == F.col("size"), F.col(text)).otherwise(cut)))
+        one.join(copies, "__id").withColumn("__parts", F.when(F.exists("__takes", lambda t: t["__words"] < F.col("__size")), parts))
+        .withColumn("__take", F.explode("__takes")).withColumn(text, F.when(F.col("__take.__words") == F.col("__size"), F.col(text)).otherwise(cut)))
     length = {"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {}
     return taken.withColumns(length).select(*docs.columns)

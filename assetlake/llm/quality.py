@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F, types as T
 
 from assetlake.session import pin
@@ -163,7 +163,7 @@ def minimise(f, x: np.ndarray, rounds: int, memory: int = 8, close: float = 1e-4
 
 def fit(
     graded: DataFrame, grades: int, key: str = "doc_id", text: str = "text", grade: str = "grade", sample_rows: int = 20_000, parts: int = 8,
-    rounds: int = 60, penalty: float = 1e-4, least: float = 8.0,
+    rounds: int = 60, penalty: float = 1e-4, least: float = 6.0,
 ) -> Model | None:
     """The model of up to ``sample_rows`` graded rows, chosen by a hash of the key; None without any.
 
@@ -238,15 +238,15 @@ def fit(
     return Model(weights, _thresholds(p[-cuts:]))
 
 
-def grade_texts(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """The rows with ``expected_grade`` and ``tails``, the probabilities of grade k or more from k = 1.
+def grade_texts(docs: DataFrame, model: Model | None, text: str = "text", expected: str = "expected_grade", tails: str = "tails") -> DataFrame:
+    """The rows with the ``expected`` grade and ``tails``, the probabilities of grade k or more from k = 1.
 
     Every text is read whole. Without a model both are null. Null and empty texts are graded by
     their few facts. Columns of these two names are replaced; all other columns stay.
     """
-    kept = [c for c in docs.columns if c not in ("expected_grade", "tails")]
+    kept = [c for c in docs.columns if c not in (expected, tails)]
     if model is None:
-        return docs.select(*kept, F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("array<double>").alias("tails"))
+        return docs.select(*kept, F.lit(None).cast("double").alias(expected), F.lit(None).cast("array<double>").alias(tails))
     schema = docs.select(*kept).schema
     at = kept.index(text)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -255,11 +255,11 @@ def grade_texts(docs: DataFrame, model: Model | None, text: str = "text") -> Dat
         features, model = Features(), sent.value
         for b in batches:
             score = np.array([model.weights[i] @ v for i, v in map(features, (t.as_py() for t in b.column(at)))]).reshape(-1)
-            tails = model.tails(score)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tails.sum(axis=1)), pa.array(list(tails), pa.list_(pa.float64()))], [
-                *b.schema.names, "expected_grade", "tails"])
+            above = model.tails(score)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(above.sum(axis=1)), pa.array(list(above), pa.list_(pa.float64()))], [
+                *b.schema.names, expected, tails])
 
-    return docs.select(*kept).mapInArrow(run, schema.add("expected_grade", "double").add("tails", T.ArrayType(T.DoubleType())))
+    return docs.select(*kept).mapInArrow(run, schema.add(expected, "double").add(tails, T.ArrayType(T.DoubleType())))
 
 
 def graded_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -270,6 +270,6 @@ def graded_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Da
     return docs.drop("grade").join(graded, key)
 
 
-def accepted(least: float = 0.7):
+def accepted(least: float = 0.7, tails: str = "tails") -> Column:
     """The condition for a document to stay: its chance of the highest grade. Ungraded ones stay."""
-    return F.coalesce(F.element_at("tails", -1) >= least, F.lit(True))
+    return F.coalesce(F.element_at(tails, -1) >= least, F.lit(True))

@@ -115,11 +115,12 @@ def update_ledger(docs: DataFrame, path: str | None = None, rules: Sequence[Rule
     return spark.read.schema(_LEDGER).parquet(path)
 
 
-def findings(docs: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with ``found``: kind, start and end of all findings by start, then kind.
+def findings(docs: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", into: str = "found") -> DataFrame:
+    """The rows of ``docs`` with the column ``into``: kind, start and end of all findings by start, then kind.
 
     Every path that holds a blob gets the blob's findings; the join splits a blob of very many
     paths. Only blobs with findings enter it. Nulls, empty and repeated rows stay rows, found empty.
+    A column named ``into`` is replaced; all others stay.
     """
     order = {r.name: i for i, r in enumerate(rules)}
     kinds = F.array(*[F.lit(r.kind) for r in rules])
@@ -127,10 +128,11 @@ def findings(docs: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES,
     hits = (
         ledger.filter(F.col("rule").isin(list(order)) & (F.size("spans") > 0)).groupBy("blob", "rule").agg(F.first("spans").alias("spans"))
         .groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list(F.transform(
-            "spans", lambda s: F.struct(s["start"].alias("start"), place[F.col("rule")].alias("rank"), s["end"].alias("end")))))).alias("_hits")))
-    named = F.transform(F.coalesce("_hits", F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")), lambda h: F.struct(
+            "spans", lambda s: F.struct(s["start"].alias("start"), place[F.col("rule")].alias("rank"), s["end"].alias("end")))))).alias("__hits")))
+    named = F.transform(F.coalesce("__hits", F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")), lambda h: F.struct(
         F.element_at(kinds, h["rank"] + 1).alias("kind"), h["start"].alias("start"), h["end"].alias("end")))
-    return attach(docs.withColumn("blob", content_address(text)), hits, ["blob"], "left").withColumn("found", named).drop("_hits", "blob")
+    marked = docs.withColumn("__blob", content_address(text))
+    return attach(marked, hits.withColumnRenamed("blob", "__blob"), ["__blob"], "left").withColumn(into, named).drop("__hits", "__blob")
 
 
 def joined_spans(found: str) -> Column:

@@ -43,14 +43,14 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """``key, fp, hash`` with the fingerprint as a signed long and ``_hash`` carried along."""
+    """``key, fp, hash`` with the fingerprint as a signed long and ``__hash`` carried along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64)), batch.column(2)], [key, "fp", "hash"])
 
-    return docs.select(F.col(key).cast("long").alias(key), text, "_hash").mapInArrow(run, f"`{key}` long, fp long, hash long")
+    return docs.select(F.col(key).cast("long").alias(key), text, "__hash").mapInArrow(run, f"`{key}` long, fp long, hash long")
 
 
 def _flips(part: Column) -> Column:
@@ -85,7 +85,7 @@ def near_pairs(prints: DataFrame) -> DataFrame:
 
 def _grouped(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """``key, fp, hash, component, component_id`` per row; the component is named by its least fingerprint."""
-    marked = pin(fingerprints(docs.withColumn("_hash", F.xxhash64(text)), key, text, words))
+    marked = pin(fingerprints(docs.withColumn("__hash", F.xxhash64(text)), key, text, words))
     classes = pin(marked.groupBy("fp").agg(F.min(key).alias("_least")))
     linked = components(near_pairs(classes), "a", "b")
     ids = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
@@ -112,6 +112,6 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     """
     last = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("hash").alias("hash"))
     chosen = _grouped(docs, key, text, words).groupBy("component").agg(F.min(last).alias("_best")).select(
-        F.xxhash64("_best.key", "_best.hash").alias("_row"), F.col("_best.hash").alias("_hash"))
-    rows = docs.withColumns({"_hash": F.xxhash64(text)}).withColumn("_row", F.xxhash64(F.col(key).cast("long"), "_hash"))
-    return rows.join(chosen, ["_row", "_hash"], "left_semi").dropDuplicates(["_row", "_hash"]).select(*docs.columns)
+        F.xxhash64("_best.key", "_best.hash").alias("__row"), F.col("_best.hash").alias("__hash"))
+    rows = docs.withColumns({"__hash": F.xxhash64(text)}).withColumn("__row", F.xxhash64(F.col(key).cast("long"), "__hash"))
+    return rows.join(chosen, ["__row", "__hash"], "left_semi").dropDuplicates(["__row", "__hash"]).select(*docs.columns)
