@@ -201,7 +201,9 @@ def fit(
         yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()]), pa.array([rows.tobytes()])], ["counts", "rows"])
 
     made = pin(usable.filter(F.col("h") <= limit).repartition(parts, "h").sortWithinPartitions("h").select("text", "grade").mapInArrow(make, schema))
-    counted = made.mapInArrow(count, "counts binary, rows binary").collect()  # one row for each part
+    # However many tasks made the features, what reaches the driver is one row for each of few parts.
+    made = made.coalesce(parts)
+    counted = made.mapInArrow(count, "counts binary, rows binary").collect()
     rows_of = sum(np.frombuffer(r[1], dtype=np.int64) for r in counted)
     kept, scale = chosen_features(sum(np.frombuffer(r[0], dtype=np.int32) for r in counted).reshape(grades, DIMS), rows_of, least)
 
