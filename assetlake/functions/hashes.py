@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyarrow import fs as pafs
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +20,21 @@ def quick_hash(content: Column, first: int = SCREEN_BYTES) -> Column:
     return F.sha2(F.substring(content.cast("binary"), 1, first), 256)
 
 
+def file_hashes(path: str, first: int | None = None, chunk: int = 4 << 20) -> tuple[str | None, str | None, str | None]:
+    """MD5 and SHA-256 of a file, or of its first bytes, in chunks; or the error in their place."""
+    md5, sha256, left = hashlib.md5(), hashlib.sha256(), first
+    try:
+        system, name = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+        with system.open_input_stream(name, compression=None) as source:
+            while data := source.read(chunk if left is None else min(chunk, left)):
+                md5.update(data)
+                sha256.update(data)
+                left = None if left is None else left - len(data)
+    except OSError as e:
+        return None, None, f"{type(e).__name__}: {e}"[:500]
+    return md5.hexdigest(), sha256.hexdigest(), None
+
+
 def hash_head(h: Column, n: int = 32) -> Column:
     return F.substring(h, 1, n)
 

@@ -16,6 +16,7 @@ from assetlake.functions import measures as M
 from assetlake.functions import paths as P
 from assetlake.operators.skew import attach, best_per_key, member_lists, number_rows
 from assetlake.session import pin
+from assetlake.sources.readers import add_hashes
 
 
 def _scan_order(df: DataFrame) -> list[str]:
@@ -114,18 +115,32 @@ def keep_delete_pairs(recommended: DataFrame) -> DataFrame:
 
 
 def two_stage_groups(files: DataFrame, content: str = "content") -> DataFrame:
-    """Exact groups by size, then by the hash of the first MiB, then by the full hash.
+    """Exact groups of a table that holds its contents: by size, hash of the first MiB, and full hash.
 
-    Content stays out of the screening shuffles and is read in full only for files whose
-    size and first MiB agree with another file.
+    The contents are hashed where they are read, in one scan, and never shuffled. Where reading itself
+    is to be saved, ``two_stage_files`` screens before it reads.
+    """
+    body = F.col(content).cast("binary")
+    hashed = files.select("path", "size_bytes", H.quick_hash(F.col(content)).alias("quick"), F.sha2(body, 256).alias("sha256"))
+    alike = hashed.groupBy("size_bytes", "quick").agg(F.count("*").alias("n")).filter("n > 1")
+    return exact_groups(attach(hashed, alike, ["size_bytes", "quick"], "left_semi").drop("quick"))
+
+
+def two_stage_files(files: DataFrame, opened=None) -> DataFrame:
+    """Exact groups of files by path: ``path, size_bytes`` in, groups out.
+
+    Only files that share their size are opened for the hash of their first MiB, and only
+    those that share it too are read whole. A file that cannot be read is in no group. Files up to
+    1 MiB are settled by the first hash. Paths, sizes and hashes are all that is shuffled.
     """
-    screened = files.select("path", "size_bytes", H.quick_hash(F.col(content)).alias("quick"))
     sizes = files.groupBy("size_bytes").agg(F.count("*").alias("n")).filter("n > 1")
-    screened = attach(screened, sizes, ["size_bytes"], "left_semi")
-    alike = screened.groupBy("size_bytes", "quick").agg(F.count("*").alias("n")).filter("n > 1")
-    paths = attach(screened, alike, ["size_bytes", "quick"], "left_semi").select("path")
-    full = files.join(paths, "path", "left_semi").select("path", "size_bytes", F.sha2(F.col(content), 256).alias("sha256"))
-    return exact_groups(full)
+    screened = attach(files.select("path", "size_bytes"), sizes, ["size_bytes"], "left_semi")
+    quick = pin(add_hashes(screened, first=H.SCREEN_BYTES, opened=opened).filter("error is null").select("path", "size_bytes", F.col("sha256").alias("quick")))
+    alike = quick.groupBy("size_bytes", "quick").agg(F.count("*").alias("n")).filter("n > 1")
+    again = attach(quick, alike, ["size_bytes", "quick"], "left_semi")
+    whole = F.col("size_bytes") <= H.SCREEN_BYTES
+    large = add_hashes(again.filter(~whole).drop("quick"), opened=opened).filter("error is null").select("path", "size_bytes", "sha256")
+    return exact_groups(pin(again.filter(whole).withColumnRenamed("quick", "sha256").unionByName(large)))
 
 
 def collision_suspects(files: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assetlake.operators.skew import number_rows
+
 
 def top(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     return df.orderBy(*order).limit(n)
@@ -24,10 +26,17 @@ def sort_by(df: DataFrame, column: str, descending: bool = False, tie: str = "pa
 
 def page(df: DataFrame, number: int, size: int, sort: str = "filename", descending: bool = False,
          tie: str = "path") -> tuple[DataFrame, DataFrame]:
-    """One page and a one-row table ``total, total_pages`` of the same rows."""
+    """One page and a one-row table ``total, total_pages`` of the same rows.
+
+    The page is a range of row numbers, so a deep page is no longer list for any task than the first.
+    """
     if number < 1 or size < 1:
         raise ValueError("page number and size start at 1")
-    rows = sort_by(df, sort, descending, tie).offset((number - 1) * size).limit(size)
+    if sort not in df.columns:
+        raise ValueError(f"unknown sort column {sort!r}")
+    first = (number - 1) * size
+    order = [F.desc(sort) if descending else F.asc(sort), *([tie] if tie != sort else [])]
+    rows = number_rows(df, order, name="_n").filter(F.col("_n").between(first + 1, first + size)).orderBy("_n").drop("_n")
     total = df.agg(F.count("*").alias("total")).withColumn("total_pages", F.ceil(F.col("total") / size))
     return rows, total
 

@@ -16,11 +16,10 @@ from assetlake.operators.skew import number_rows
 from assetlake.operators.sorting import top
 
 
-def operation_manifest(plan: DataFrame, stamp: str, created: str, limit: int | None = 500, sizes: DataFrame | None = None) -> DataFrame:
+def operation_manifest(plan: DataFrame, stamp: str, created: str, limit: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """Pending operations from a rename plan ``old_path, new_path``, in path order.
 
-    ``limit`` takes the first rows of the plan, as the reference's first batch does; without
-    it the whole plan is numbered, however long.
+    The whole plan is numbered, however long; ``limit`` takes its first rows only, for a first batch.
     """
     rows = plan.select("old_path", "new_path")
     rows = number_rows(top(rows, limit, "old_path") if limit else rows, ["old_path"])

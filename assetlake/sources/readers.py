@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from assetlake import schemas
 from assetlake.functions import constants as C
@@ -14,9 +15,6 @@ from assetlake.functions import documents as J
 from assetlake.functions import hashes as H
 from assetlake.functions import paths as P
 
-# Spark holds a file's content in one value, which cannot pass 2 GB.
-MAX_CONTENT_BYTES = 2_000_000_000
-
 
 def _plain(path):
     return F.regexp_replace(path, "^file:/+", "/")
@@ -49,25 +47,42 @@ def scan_roots(spark: SparkSession, roots: Sequence[str], suffixes: Sequence[str
     return found, errors
 
 
-def hash_files(spark: SparkSession, root: str, limit: int = MAX_CONTENT_BYTES, known: DataFrame | None = None) -> DataFrame:
-    """MD5 and SHA-256 of each file. Files over the limit get an error and no hash.
+def add_hashes(files: DataFrame, path: str = "path", first: int | None = None, opened=None) -> DataFrame:
+    """The rows with ``md5, sha256, error`` of the file behind each path, or of its ``first`` bytes.
+
+    A file of any size is read in chunks of a few MB, through its own file system, by the task that
+    has its path; contents never enter a row. A file that cannot be read gets an error and no
+    hashes. ``opened``, an accumulator, counts the files that were opened.
+    """
+    spark = files.sparkSession
+    at = files.columns.index(path)
+    added = [T.StructField(n, T.StringType()) for n in ("md5", "sha256", "error")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [H.file_hashes(name, first) for name in batch.column(at).to_pylist()]
+            if opened is not None:
+                opened.add(len(made))
+            columns = [pa.array(c, pa.string()) for c in zip(*made)] if made else [pa.array([], pa.string())] * 3
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "md5", "sha256", "error"])
+
+    # Paths are short and files are not: the number of tasks must not follow the bytes of the paths.
+    spread = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), path)
+    return spread.mapInArrow(run, T.StructType([*files.schema.fields, *added]))
+
+
+def hash_files(spark: SparkSession, root: str, known: DataFrame | None = None, opened=None) -> DataFrame:
+    """``path, size_bytes, modified, md5, sha256, error`` of each file below a root.
 
-    ``known`` (``path, size_bytes, modified, md5, sha256``) saves reading unchanged files.
+    ``known`` (``path, size_bytes, modified, md5, sha256``) is a store of earlier hashes: a file
+    with the same path, size and time is taken from it and not opened.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).withColumn("path", _plain(F.col("path")))
-    keys = [F.col("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified")]
-    fits = raw.filter(F.col("length") <= limit)
-    none = F.lit(None).cast("string")
-    big = raw.filter(F.col("length") > limit).select(*keys, none.alias("md5"), none.alias("sha256"), F.lit("file too large to hash").alias("error"))
+    listed = scan_files(spark, root).select("path", "size_bytes", "modified")
     if known is None:
-        return fits.select(*keys, *H.content_hashes(F.col("content")), none.alias("error")).unionByName(big)
-    # The list of files to read is settled from sizes and times alone; only then is content read.
-    same = known.select("path", "size_bytes", "modified", "md5", "sha256")
-    listed = fits.select(*keys)
-    kept = listed.join(same, ["path", "size_bytes", "modified"]).withColumn("error", none)
-    todo = listed.join(same, ["path", "size_bytes", "modified"], "left_anti").select("path")
-    fresh = fits.select(*keys, *H.content_hashes(F.col("content")), none.alias("error")).join(todo, "path", "left_semi")
-    return fresh.unionByName(kept).unionByName(big)
+        return add_hashes(listed, opened=opened)
+    same, keys = known.select("path", "size_bytes", "modified", "md5", "sha256"), ["path", "size_bytes", "modified"]
+    kept = listed.join(same, keys).withColumn("error", F.lit(None).cast("string"))
+    return add_hashes(listed.join(same, keys, "left_anti"), opened=opened).unionByName(kept)
 
 
 def read_audit_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -169,12 +184,12 @@ def parse_probe(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def watch_folder(spark: SparkSession, folder: str, suffixes: Sequence[str] = C.IMAGE_SUFFIXES + C.VIDEO_SUFFIXES,
                  max_files: int = 1000) -> DataFrame:
-    """New files of a folder as a stream, with hashes."""
+    """New files of a folder as a stream, with hashes by the same reader as ``hash_files``."""
     raw = (
         spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files)
         .schema("path string, modificationTime timestamp, length long, content binary").load(folder)
     )
     p = _plain(F.col("path"))
-    return raw.filter(P.suffix_lower(p).isin(*suffixes)).select(
-        p.alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"),
-        P.media_class(P.suffix(p)).alias("file_type"), *H.content_hashes(F.col("content")))
+    listed = raw.filter(P.suffix_lower(p).isin(*suffixes)).select(
+        p.alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), P.media_class(P.suffix(p)).alias("file_type"))
+    return add_hashes(listed)

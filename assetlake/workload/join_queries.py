@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from assetlake.functions import paths as P
 from assetlake.operators import joins as J
 from assetlake.operators import sets as U
+from assetlake.operators.skew import attach
 from assetlake.workload.registry import query
 
 c = F.col
@@ -47,7 +48,7 @@ JOIN assets a1 ON a1.id = g.k JOIN assets a2 ON a2.id = i.asset_id WHERE i.camer
 def pair_paths(t):
     files = t.inventory.select("asset_id", "sha256", "camera_make")
     firsts = files.groupBy("sha256").agg(F.min("asset_id").alias("asset_id_1"), F.count("*").alias("n")).filter("n > 1")
-    pairs = files.join(firsts, "sha256").filter("asset_id > asset_id_1").select(
+    pairs = attach(files, firsts, ["sha256"]).filter("asset_id > asset_id_1").select(
         "asset_id_1", c("asset_id").alias("asset_id_2"), F.lit("exact").alias("duplicate_type"), F.lit(1.0).alias("similarity_score"),
         F.when(c("camera_make").isNotNull(), "pending").otherwise("kept").alias("action_taken"))
     return J.duplicate_paths(pairs, t.assets)

@@ -80,7 +80,7 @@ def operation_manifest(t):
 SELECT 'OP_20240115_000000_' || printf('%04d', row_number() OVER (ORDER BY original_path)) AS operation_id, original_path, new_path FROM (SELECT original_path, new_path FROM manifest ORDER BY original_path LIMIT 500)""")
 def first_batch(t):
     plan = t.manifest.select(c("original_path").alias("old_path"), "new_path")
-    return X.operation_manifest(plan, "20240115_000000", "2024-01-15T00:00:00").select("operation_id", "original_path", "new_path")
+    return X.operation_manifest(plan, "20240115_000000", "2024-01-15T00:00:00", 500).select("operation_id", "original_path", "new_path")
 
 
 @query("O4_transfer_outcomes", f"WITH {TRANSFER_SQL} SELECT status, count(*) AS operations, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM moved GROUP BY status")

@@ -31,18 +31,39 @@ def test_scan_roots(spark, tree):
     assert [r.filename for r in flat.collect()] == ["one.JPG"]
 
 
-def test_hashing_and_limits(spark, tree):
-    got = {r.path.rsplit("/", 1)[-1]: r for r in S.hash_files(spark, str(tree), limit=4).collect()}
+def test_hashing_in_chunks_and_errors(spark, tree):
+    big = b"0123456789abcdef" * (600 << 10)
+    (tree / "big.bin").write_bytes(big)
+    got = {r.path.rsplit("/", 1)[-1]: r for r in S.hash_files(spark, str(tree)).collect()}
     assert got["one.JPG"].sha256 == hashlib.sha256(b"111").hexdigest() and got["one.JPG"].md5 == hashlib.md5(b"111").hexdigest()
-    assert got["two.mp4"].sha256 is None and got["two.mp4"].error
+    assert got["big.bin"].sha256 == hashlib.sha256(big).hexdigest() and got["big.bin"].error is None
+    gone = spark.createDataFrame([(str(tree / "gone"), 1), (str(tree / "b" / "one.txt"), 3)], "path string, size_bytes long")
+    rows = {r.path.rsplit("/", 1)[-1]: r for r in S.add_hashes(gone).collect()}
+    assert rows["gone"].sha256 is None and rows["gone"].error and rows["one.txt"].sha256 and not rows["one.txt"].error
 
 
-def test_unchanged_files_are_not_read(spark, tree):
+def test_unchanged_files_are_not_opened(spark, tree):
     first = S.hash_files(spark, str(tree))
     known = spark.createDataFrame([(r.path, r.size_bytes, r.modified, "m", "known") for r in first.collect() if r.path.endswith("JPG")],
                                   "path string, size_bytes long, modified timestamp, md5 string, sha256 string")
-    got = {r.path.rsplit("/", 1)[-1]: r.sha256 for r in S.hash_files(spark, str(tree), known=known).collect()}
+    opened = spark.sparkContext.accumulator(0)
+    got = {r.path.rsplit("/", 1)[-1]: r.sha256 for r in S.hash_files(spark, str(tree), known=known, opened=opened).collect()}
     assert got["one.JPG"] == "known" and got["one.txt"] == hashlib.sha256(b"111").hexdigest() and len(got) == 3
+    assert opened.value == 2
+
+
+def test_two_stage_files_reads_only_candidates(spark, tmp_path):
+    from assetlake.operators.duplicates import two_stage_files
+
+    head = b"x" * (1 << 20)
+    contents = {"a": b"one", "b": b"one", "c": b"two", "d": b"alone!", "e": head + b"1", "f": head + b"1", "g": head + b"2", "h": b"y" * (1 << 20) + b"1"}
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    opened = spark.sparkContext.accumulator(0)
+    groups = two_stage_files(S.scan_files(spark, str(tmp_path)), opened=opened).collect()
+    assert sorted((r.sha256, r.copies) for r in groups) == sorted((hashlib.sha256(d).hexdigest(), 2) for d in (b"one", head + b"1"))
+    # Seven share a size and are opened for their first part; three share that too and are read whole.
+    assert opened.value == 7 + 3
 
 
 def test_audit_by_suffix(spark, tmp_path):
