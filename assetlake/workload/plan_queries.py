@@ -97,9 +97,9 @@ def rollback_plan(t):
     return X.rollback_plan(t.manifest, t.inventory)
 
 
-@query("O6_rollback_candidates", """SELECT operation_id FROM manifest WHERE status = 'completed' AND "timestamp" >= '2023-09-01T00:00:00'""")
+@query("O6_rollback_candidates", """SELECT operation_id FROM manifest WHERE status = 'completed' AND "timestamp" >= '2023-01-10T00:00:00'""")
 def rollback_candidates(t):
-    return X.rollback_candidates(t.manifest, "2023-10-01 00:00:00", 24 * 30).select("operation_id")
+    return X.rollback_candidates(t.manifest, "2023-01-20 00:00:00", 24 * 10).select("operation_id")
 
 
 @query("O6_operation_integrity", """
