@@ -218,6 +218,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     found = files.repartitionByRange(max(files.count(), 1), "file").mapInArrow(read, _READ)
     response = found.filter("record_type = 'response'")
     sizes = response.filter("page_id is not null").groupBy("page_id", "payload_digest").agg(F.max("payload_bytes").alias("_bytes"))
+    # Spark takes records for as small as the manifest they come from, and would broadcast them.
+    sizes = sizes.hint("merge")
     revisit = found.filter("record_type = 'revisit'").withColumn("_page", F.col("page_id")).withColumn("page_id", F.col("refers_to"))
     sized = attach(revisit, sizes, ["page_id", "payload_digest"], "left").withColumn("page_id", F.col("_page")).withColumn("payload_bytes", F.col("_bytes"))
     return response.unionByName(sized.select(*response.columns))
