@@ -91,7 +91,8 @@ def mix(
         "blocks", F.ceil(F.col("source_size") / block_words))
     targets = pin(source_targets(sizes, weights, share, limit))
     drawn = draw_blocks(targets, shard_blocks, seed)
-    times = drawn.groupBy("source", "block").agg(F.count("*").alias("draws"))
+    # Spark takes what is drawn for as small as the table of sources, and would broadcast it.
+    times = drawn.groupBy("source", "block").agg(F.count("*").alias("draws")).hint("merge")
     span = F.expr(f"if(size > 0, sequence(before div {block_words}, (before + size - 1) div {block_words}), null)")
     start = F.greatest(F.col("block") * block_words - F.col("before"), F.lit(0))
     end = F.least((F.col("block") + 1) * block_words - F.col("before"), F.col("size"))
