@@ -83,7 +83,8 @@ def code_pairs(coded: DataFrame, radius: int = RADIUS) -> DataFrame:
         for j in range(i):
             earlier = earlier & ~near[j]
         first = F.when(here, near[i] & earlier).otherwise(first)
-    return left.join(right, ["part", "value"]).filter(
+    # Spark takes the tables for as small as the codes that they repeat 68 times.
+    return left.join(right.hint("merge"), ["part", "value"]).filter(
         (F.col("a") < F.col("b")) & (F.bit_count(x) <= radius) & first & (F.col("value") == between)).select("a", "b")
 
 
