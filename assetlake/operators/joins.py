@@ -179,6 +179,17 @@ def reconcile(catalog: DataFrame, disk: DataFrame, suffixes: Sequence[str] = C.C
     ).filter((F.col("category") != "C") | media)
 
 
+def reconcile_hashes(catalog: DataFrame, disk: DataFrame, suffixes: Sequence[str] = C.CATALOG_SUFFIXES) -> DataFrame:
+    """``reconcile`` with ``catalog_sha256`` and ``disk_sha256``, carried through the one join.
+    Of several hashes recorded for a path the least counts."""
+    c = catalog.filter("path <> ''").groupBy("path").agg(F.min("sha256").alias("catalog_sha256")).withColumn("_c", F.lit(True))
+    d = disk.groupBy("path").agg(F.min("sha256").alias("disk_sha256")).withColumn("_d", F.lit(True))
+    media = P.suffix_lower(F.col("path")).isin(*suffixes)
+    category = F.when(F.col("_d").isNull(), "B").when(F.col("_c").isNull(), "C").otherwise("A")
+    return c.join(d, "path", "full_outer").select("path", category.alias("category"), "catalog_sha256", "disk_sha256").filter(
+        (F.col("category") != "C") | media)
+
+
 def folder_drift(catalog_files: DataFrame, disk_files: DataFrame) -> DataFrame:
     """Folders whose file counts differ between catalog and disk."""
     a = catalog_files.groupBy("folder").agg(F.count("*").alias("catalog_count"))

@@ -9,6 +9,7 @@ from assetlake.functions import dates as D
 from assetlake.operators import joins as J
 from assetlake.operators.duplicates import exact_members
 from assetlake.operators.filters import not_like
+from assetlake.operators.skew import attach
 from assetlake.operators.sorting import rank_order
 
 
@@ -19,13 +20,15 @@ def reconciliation_matrix(catalog: DataFrame, disk: DataFrame) -> DataFrame:
     D every member of a duplicate group (in addition to its A or C row). ``catalog`` and
     ``disk`` have ``path, sha256``; ``disk`` also ``size_bytes``.
     """
-    cats = J.reconcile(catalog, disk)
-    missing = cats.filter("category = 'B'").join(catalog.select("path", "sha256").dropDuplicates(["path"]), "path")
-    orphan = cats.filter("category = 'C'").join(disk.select("path", "sha256"), "path")
-    found = J.moved_files(missing, orphan).select(F.col("missing_path").alias("path"), "found_path")
+    cats = J.reconcile_hashes(catalog, disk)
+    missing = cats.filter("category = 'B'").select("path", "category", F.nullif("catalog_sha256", F.lit("")).alias("sha256"))
+    orphan = cats.filter("category = 'C' and disk_sha256 <> ''")
+    where = orphan.groupBy(F.col("disk_sha256").alias("sha256")).agg(F.min("path").alias("found_path"))
+    placed = cats.filter("category <> 'B'").select("path", "category").unionByName(
+        attach(missing, where, ["sha256"], "left").drop("sha256"), allowMissingColumns=True)
     dup = exact_members(disk).select("path", F.lit("D").alias("category"))
     rank = F.when(F.col("category") == "B", "CRITICAL").when(F.col("category") == "C", "HIGH").when(F.col("category") == "D", "MEDIUM").otherwise("NONE")
-    return cats.join(found, "path", "left").unionByName(dup, allowMissingColumns=True).withColumn("priority", rank).select(
+    return placed.unionByName(dup, allowMissingColumns=True).withColumn("priority", rank).select(
         "path", "category", "priority", "found_path")
 
 

@@ -107,9 +107,9 @@ WITH {RECONCILED_SQL} SELECT m.path AS missing_path, m.sha256, o.found_path, o.p
 FROM (SELECT cats.path, cat.sha256 FROM cats JOIN cat ON cats.path = cat.path WHERE category = 'B') m
 JOIN (SELECT i.sha256, min(i.path) AS found_path, count(*) AS places FROM cats JOIN inventory i ON cats.path = i.path WHERE category = 'C' GROUP BY i.sha256) o ON m.sha256 = o.sha256""")
 def moved_files(t):
-    cats = J.reconcile(catalog_side(t), t.inventory)
-    missing = cats.filter("category = 'B'").join(catalog_side(t).distinct(), "path")
-    orphan = cats.filter("category = 'C'").join(t.inventory.select("path", "sha256"), "path")
+    cats = J.reconcile_hashes(catalog_side(t), t.inventory)
+    missing = cats.filter("category = 'B'").select("path", c("catalog_sha256").alias("sha256"))
+    orphan = cats.filter("category = 'C'").select("path", c("disk_sha256").alias("sha256"))
     return J.moved_files(missing, orphan)
 
 
