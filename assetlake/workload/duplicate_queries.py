@@ -50,10 +50,19 @@ def near_pairs(t):
 
 
 @query("D4_near_pairs_within_ten", """
-WITH pairs AS (SELECT least(a.phash, b.phash) AS phash_1, greatest(a.phash, b.phash) AS phash_2, CAST(bit_count(xor(a.word, b.word)) AS INTEGER) AS distance
-FROM picture_hashes a JOIN picture_hashes b ON a.phash < b.phash AND bit_count(xor(a.word, b.word)) <= 10) SELECT * FROM pairs""")
+WITH h AS (SELECT phash, word FROM picture_hashes
+  UNION SELECT substr(phash, 1, 15) || translate(substr(phash, 16), '0123456789abcdef', 'fedcba9876543210'), CAST(substr(bits, 1, 60) || translate(substr(bits, 61), '01', '10') AS BIT)
+    FROM picture_hashes WHERE size_bytes % 2 = 0
+  UNION SELECT substr(phash, 1, 14) || translate(substr(phash, 15), '0123456789abcdef', 'fedcba9876543210'), CAST(substr(bits, 1, 56) || translate(substr(bits, 57), '01', '10') AS BIT)
+    FROM picture_hashes WHERE size_bytes % 2 = 1)
+SELECT a.phash AS phash_1, b.phash AS phash_2, CAST(bit_count(xor(a.word, b.word)) AS INTEGER) AS distance
+FROM h a JOIN h b ON a.phash < b.phash AND bit_count(xor(a.word, b.word)) <= 10""")
 def near_pairs_ten(t):
-    return U.near_hash_pairs(U.hash_table(t.picture_hashes), BITS)
+    """Every picture beside a near copy of it: the last one or two hash digits are inverted."""
+    files, digits = t.picture_hashes, ("0123456789abcdef", "fedcba9876543210")
+    kept = F.when(c("size_bytes") % 2 == 0, 15).otherwise(14)
+    copies = files.withColumn("phash", F.concat(F.substr("phash", F.lit(1), kept), F.translate(F.substr("phash", kept + 1), *digits)))
+    return U.near_hash_pairs(U.hash_table(files.unionByName(copies)), BITS)
 
 
 @query("D5_similarity", f"""

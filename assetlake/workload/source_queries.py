@@ -200,12 +200,15 @@ def scan_roots(t):
     return found.unionByName(errors.agg(F.count("*").alias("bytes")).select(F.lit(-1).alias("folder_index"), "bytes"))
 
 
-@query("M1_hashed_folder", "SELECT count(DISTINCT source) AS sources, true AS all_hashed FROM inventory")
+@query("M1_hashed_folder", """
+SELECT source, md5(body) AS md5, sha256(body) AS sha256, CAST(NULL AS VARCHAR) AS error
+FROM (SELECT source, string_agg(path, chr(10) ORDER BY path) || chr(10) AS body FROM inventory GROUP BY source)""")
 def hashed_folder(t):
-    out = _folder(t, "hash")
-    files = S.hash_files(t.spark, out).filter(F.col("path").endswith(".txt"))
-    return files.agg(F.count_distinct(F.regexp_extract("path", "/source=([^/]+)/", 1)).alias("sources"),
-                     (F.count_if(F.length("sha256") == 64) == F.count("*")).alias("all_hashed"))
+    """One file per source, whose lines are its paths in order."""
+    out = scratch_path(t.spark, "hash")
+    t.inventory.select(c("path").alias("value"), "source").repartition("source").sortWithinPartitions("source", "value").write.partitionBy("source").text(out)
+    files = S.hash_files(t.spark, out).filter(c("path").endswith(".txt"))
+    return files.select(F.regexp_extract("path", "/source=([^/]+)/", 1).alias("source"), "md5", "sha256", "error")
 
 
 @query("S4_audit_csv_scan", _AUDIT_SQL)
