@@ -12,6 +12,7 @@ from assetlake.operators.skew import null_safe_join
 from assetlake.session import pin
 
 CHUNK = 8192
+TASK_BLOCKS = 2_000_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, limit: float) -> DataFrame:
@@ -56,15 +57,17 @@ def draw_blocks(targets: DataFrame, shard_blocks: int, seed: int) -> DataFrame:
     comes again before all have come.
     """
     every = targets.agg(F.sum("quota")).first()[0] or 0
+    # A short row stands for very many: the number of tasks follows the blocks, not the bytes of such rows.
+    tasks = max(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-every // TASK_BLOCKS))
     chunks = targets.filter("quota > 0").select(
         "source", "blocks", "quota", "first", F.explode(F.expr(f"sequence(0L, (quota - 1) div {CHUNK})")).alias("chunk")
-    ).repartition("source", "chunk")
+    ).repartition(tasks, "source", "chunk")
     ticket = F.explode(F.expr(f"sequence(chunk * {CHUNK}, least((chunk + 1) * {CHUNK}, quota) - 1)"))
     place = shuffled(F.col("first") + F.col("ticket"), F.lit(max(every, 1)), F.lit(seed), inverse=True)
     counts = (
         chunks.withColumn("ticket", ticket).select("source", "blocks", place.alias("place"))
         .withColumn("shard", F.floor(F.col("place") / shard_blocks)).groupBy("source", "blocks", "shard").agg(F.count("*").alias("drawn")))
-    slots = prefix_sums(counts, ["shard"], "drawn", by=["source"]).select(
+    slots = prefix_sums(counts, ["shard"], "drawn", by=["source"]).repartition(tasks, "source", "shard").select(
         "source", "blocks", "shard", F.explode(F.expr("sequence(before, before + drawn - 1)")).alias("slot"))
     epoch = F.floor(F.col("slot") / F.col("blocks"))
     block = shuffled(F.col("slot") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed), "source", epoch))
