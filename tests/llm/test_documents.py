@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from assetlake.llm import licences, mixing, packing, quality, secrets, sharding, simhash
+from assetlake.llm import licences, mixing, packing, quality, secrets, sharding, shingles, simhash
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i % 977}" for i in range(30_000))
@@ -185,6 +185,42 @@ def test_one_of_each(docs, empty):
     assert ids.count() == docs.count() and ids.filter("fp = 0").select("component_id").distinct().count() == 1
 
 
+def jaccard(a, b):
+    x, y = ({tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))} for w in (t.lower().split() for t in (a, b)))
+    return len(x & y) / len(x | y)
+
+
+def test_the_stage_drops_near_copies(spark):
+    import random
+
+    import corpus_pipeline
+
+    rng, rows, want = random.Random(9), [], set()
+    for i in range(300):
+        base = [f"v{rng.randrange(3000)}" for _ in range(rng.choice((60, 150, 400, 900)))]
+        copy = list(base)
+        for at in rng.sample(range(len(base)), max(1, round(len(base) * rng.uniform(0.002, 0.035)))):
+            copy[at] = "changed"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        want |= {2 * i} | ({2 * i + 1} if jaccard(*(r[1] for r in rows[-2:])) < 0.8 else set())
+    near = [jaccard(rows[i][1], rows[i + 1][1]) for i in range(0, 600, 2)]
+    assert sum(0.8 <= s < 0.85 for s in near) > 20 and sum(0.7 <= s < 0.8 for s in near) > 20
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert {r.doc_id for r in got} == want
+
+
+def test_chains_and_odd_rows_of_the_stage(spark, docs, empty):
+    words = [f"u{i}" for i in range(400)]
+    chain = [(i, " ".join([*words[:400 - 18 * i], *[f"x{j}" for j in range(18 * i)]])) for i in range(8)]
+    assert jaccard(chain[0][1], chain[1][1]) >= 0.8 > jaccard(chain[0][1], chain[5][1])
+    got = shingles.one_of_each(spark.createDataFrame(chain + [(99, chain[3][1].upper())], "doc_id long, text string")).collect()
+    assert [r.doc_id for r in got] == [0]
+    out = shingles.one_of_each(docs)
+    assert out.columns == docs.columns and shingles.one_of_each(empty).count() == 0
+    texts = {" ".join((t or "").lower().split()) for t in TEXTS}
+    assert {" ".join((r.text or "").lower().split()) for r in out.collect()} == texts and out.count() == len(texts)
+
+
 def test_packing(docs, empty):
     public = pytest.importorskip("public_tokenizers")
     from functools import partial
