@@ -7,9 +7,11 @@ from dataclasses import dataclass
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
+from assetlake.session import pin
+
 UNKNOWN = "unknown"
 
 # Common notices and passages of public licences, by family.
@@ -77,6 +79,10 @@ OTHERS = (
 # Plain words that stand before, after or within a notice.
 FILLER = "the and of to in is for that with as on it by this was are from or at which one all we our their".split()
 
+# A line is classified in runs of at most RUN words; where one may hold a notice, so are shorter pieces of it, as (words, step).
+RUN, STEP = 40, 20
+PIECES = ((5, 1), (8, 2), (16, 4))
+
 _SEPARATORS = r"[^a-z0-9.+-]+"
 
 
@@ -94,6 +100,12 @@ def grams(words: str, n: int) -> Column:
         F.array(F.array_join(words, " ")))
 
 
+def runs(words: str, n: int, step: int) -> Column:
+    """Overlapping runs of ``n`` words that begin every ``step`` words and cover the whole list; a shorter list is one run."""
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.size(words) - n) / step), F.lit(0)).cast("int"))
+    return F.transform(starts, lambda i: F.slice(F.col(words), i * step + 1, n))
+
+
 def _features(df: DataFrame, places: int) -> DataFrame:
     """Adds the vector of hashed words and word pairs of ``words``."""
     pairs = F.when(F.size("words") > 1, grams("words", 2)).otherwise(F.array().cast("array<string>"))
@@ -107,7 +119,7 @@ def _templates(spark: SparkSession) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, text: str, plain_rows: int, seed: int = 3) -> DataFrame:
-    """``label, words``: templates whole, with words left out and with plain words around them, and
+    """``label, words``: templates whole, with words left out and with plain words or corpus words around them, and
     as unknown the other mentions, plain words, and up to ``plain_rows`` lines of the corpus without a
     licence word, chosen by hash. Every variant comes from hashes, so runs agree."""
     spark = docs.sparkSession
@@ -127,8 +139,15 @@ def training_rows(docs: DataFrame, text: str, plain_rows: int, seed: int = 3) ->
     lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).filter(
         (F.pmod(F.xxhash64("line"), F.lit(64)) == 0) & ~F.lower("line").rlike("licen|copyright|permi|warrant|redistribut|public"))
     corpus = lines.orderBy(F.xxhash64("line"), "line").limit(plain_rows).select(
-        F.lit(UNKNOWN).alias("family"), F.slice(tokens("line"), 1, 200).alias("words"))
-    every = varied.unionByName(plain).unionByName(corpus)
+        F.lit(UNKNOWN).alias("family"), F.slice(tokens("line"), 1, RUN).alias("words"), F.col("line"))
+    # At most plain_rows lines, numbered in one task.
+    numbered = corpus.filter(F.size("words") > 0).select("words", (F.row_number().over(W.orderBy(F.xxhash64("line"), "line")) - 1).alias("at")).cache()
+    lent = notices.select("family", tokens("template").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(29))).alias("i")).withColumn(
+        "at", draw("w", "i") % F.lit(max(min(numbered.count(), 1000), 1))).join(numbered, "at")
+    room = F.greatest(F.lit(RUN) - F.size("w"), F.lit(0))
+    before = F.pmod(F.xxhash64("i", "w"), room + 1).cast("int")
+    amid = lent.select("family", F.slice(F.concat(F.slice("words", 1, before), "w", F.slice("words", before + 1, F.lit(RUN))), 1, RUN).alias("words"))
+    every = varied.unionByName(plain).unionByName(corpus.drop("line")).unionByName(amid)
     names = F.array(*[F.lit(x) for x in (*TEMPLATES, UNKNOWN)])
     return every.select((F.array_position(names, F.col("family")) - 1).cast("double").alias("label"), "words")
 
@@ -147,14 +166,15 @@ class Classifier:
         return [*TEMPLATES, UNKNOWN]
 
     def chances(self, df: DataFrame) -> DataFrame:
-        """Adds ``family`` and ``chance`` to rows with ``words``; below ``least`` the family is unknown."""
+        """Adds ``family``, ``chance`` and ``doubt``, the chance of unknown, to rows with ``words``; below ``least`` the family is unknown."""
         raw = self.model.setPredictionCol("").setProbabilityCol("").transform(_features(df, self.places))
         # Made once per row: an explode of one element is a bound over which no later condition is moved.
         scaled = F.explode(F.array(F.transform(vector_to_array("rawPrediction"), lambda x: x * self.sharpness)))
         top = F.array_max("_s")
         chance = 1 / F.aggregate(F.zip_with("_s", F.array_repeat(top, len(self.families)), lambda x, t: F.exp(x - t)), F.lit(0.0), lambda a, x: a + x)
         best = F.element_at(F.array(*[F.lit(f) for f in self.families]), F.array_position("_s", top).cast("int"))
-        named = raw.withColumn("_s", scaled).drop("features", "rawPrediction").withColumn("chance", F.explode(F.array(chance)))
+        named = raw.withColumn("_s", scaled).drop("features", "rawPrediction").withColumn("chance", F.explode(F.array(chance))).withColumn(
+            "doubt", F.col("chance") * F.exp(F.element_at("_s", -1) - top))
         return named.withColumn("family", F.when(F.col("chance") >= self.least, best).otherwise(UNKNOWN)).drop("_s")
 
 
@@ -191,36 +211,48 @@ def train(docs: DataFrame, text: str = "text", places: int = 1 << 14, plain_rows
 
 
 def scan(docs: DataFrame, classifier: Classifier, key: str = "doc_id", text: str = "text", shared: float = 0.7) -> DataFrame:
-    """``key, text_hash, line, family, chance, likeness, confirmed`` for each line that is called a family.
-
-    Every line of every text is classified. A call is confirmed when some template of the family
-    shares enough with the line: ``shared`` of the template's runs of three words, as the line may hold
-    more than the notice, or of the line's runs, where it has four words or more, as it may be a part of
-    a longer passage. A null or empty text has no lines to call; other columns are ignored.
+    """``key, text_hash, line, family, chance, likeness, confirmed`` for each family that a line, or a run of it, is called.
+
+    Every line of every text is classified in overlapping runs of 40 words, so that the words around a
+    notice are few. Where unknown has a chance under 0.9 the shorter pieces of the run are classified too, as it may
+    hold several notices. A call is confirmed when some template of the family
+    shares enough with the run: ``shared`` of the template's runs of three words, as the run may hold
+    more than the notice, or of the run's own, where it has four words or more, as it may be a part of
+    a longer passage; a piece is confirmed by the first alone. A null or empty text has no lines to call; other columns are ignored.
     """
     lines = docs.select(F.col(key), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "_body"))
-    words = lines.withColumn("words", F.explode(F.array(tokens("_body")))).filter(F.size("words") > 0)
-    called = classifier.chances(words).filter(F.col("family") != UNKNOWN)
+    words = lines.withColumn("_line", F.explode(F.array(tokens("_body")))).filter(F.size("_line") > 0).select(
+        key, "text_hash", "line", F.explode(runs("_line", RUN, STEP)).alias("words"))
     kept = [key, "text_hash", "line", "chance", "words", "family"]
+    whole = classifier.chances(words).filter((F.col("family") != UNKNOWN) | (F.col("doubt") < 0.9)).select(*kept)
+    whole = pin(whole)
+    shorter = F.filter(F.flatten(F.array(*[runs("words", n, step) for n, step in PIECES])), lambda w: F.size(w) < F.size("words"))
+    pieces = classifier.chances(whole.select(key, "text_hash", "line", F.explode(F.array_distinct(shorter)).alias("words"))).select(*kept)
+    called = whole.withColumn("_piece", F.lit(False)).unionByName(pieces.withColumn("_piece", F.lit(True))).filter(F.col("family") != UNKNOWN)
     # The templates above, a few dozen rows.
     forms = F.broadcast(_templates(docs.sparkSession).withColumn("_t", tokens("template")).withColumn("_runs", F.array_distinct(grams("_t", 3))).select("family", "_runs"))
     common = F.size(F.array_intersect("_own", "_runs"))
-    likeness = F.greatest(common / F.size("_runs"), F.when(F.size("words") >= 4, common / F.size("_own")).otherwise(F.lit(0.0)))
-    return called.select(*kept).withColumn("_own", F.array_distinct(grams("words", 3))).join(forms, "family").groupBy(
-        key, "text_hash", "line", "family", "chance").agg(F.max(likeness).alias("likeness")).withColumn("confirmed", F.col("likeness") >= shared)
+    part = F.when(~F.col("_piece") & (F.size("words") >= 4), common / F.size("_own")).otherwise(F.lit(0.0))
+    likeness = F.greatest(common / F.size("_runs"), part)
+    each = called.withColumn("_own", F.array_distinct(grams("words", 3))).join(forms, "family").withColumn("likeness", likeness)
+    best = F.max(F.struct((F.col("likeness") >= shared).alias("confirmed"), "chance", "likeness"))
+    return each.groupBy(key, "text_hash", "line", "family").agg(best.alias("_best")).select(
+        key, "text_hash", "line", "family", "_best.chance", "_best.likeness", "_best.confirmed")
 
 
 def licences(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """``key, families, n_lines, chance, unconfirmed`` for every row of ``docs``: its confirmed families by name.
 
-    ``chance`` is the greatest of the confirmed lines, null without any; ``unconfirmed`` counts calls that no
-    template bears out. Repeated rows, and null keys or texts, are rows with their own result.
+    ``n_lines`` counts lines with a confirmed family and ``chance`` is the greatest of them, null without any; ``unconfirmed``
+    counts lines that are called a family and have none that a template bears out. Repeated rows, and null keys or texts, are rows with their own result.
     """
     found = scan(docs, train(docs, text), key, text, **how)
     sure = F.col("confirmed")
-    per = found.groupBy(key, "text_hash").agg(
-        F.array_join(F.array_sort(F.collect_set(F.when(sure, F.col("family")))), ",").alias("families"), F.count(F.when(sure, 1)).alias("n_lines"),
-        F.max(F.when(sure, F.col("chance"))).alias("chance"), F.count(F.when(~sure, 1)).alias("unconfirmed"))
+    lines = found.groupBy(key, "text_hash", "line").agg(
+        F.collect_set(F.when(sure, F.col("family"))).alias("_families"), F.max(F.when(sure, F.col("chance"))).alias("_chance"), F.max(sure).alias("_sure"))
+    per = lines.groupBy(key, "text_hash").agg(
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_families")))), ",").alias("families"), F.count(F.when(F.col("_sure"), 1)).alias("n_lines"),
+        F.max("_chance").alias("chance"), F.count(F.when(~F.col("_sure"), 1)).alias("unconfirmed"))
     rows, same = docs.select(F.col(key), F.xxhash64(text).alias("text_hash")), per.withColumnRenamed(key, "_key")
     out = rows.join(same.withColumnRenamed("text_hash", "_hash"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("text_hash") == F.col("_hash")), "left")
     return out.select(

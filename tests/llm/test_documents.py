@@ -308,3 +308,25 @@ def test_licences(spark, docs, empty):
     named = sorted((i, f) for i, f in out if f)
     assert named == [(1, "mit"), (2, "cc-by-nc"), (5, "gpl"), (7, "apache,mit"), (7, "mit")]
     assert licences.licences(empty).count() == 0
+
+
+def test_notices_within_long_lines(spark):
+    import random
+
+    rng = random.Random(5)
+    # Corpus words to train against, and lines of other words of the same corpus around the notices.
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").filter("text is not null").limit(400).collect()]
+    clean = [w for t in texts for line in t.split("\n") if not re.search("licen|copyright|permi|warrant|redistribut|public", line.lower()) for w in line.split()]
+
+    def amid(*notices):
+        cuts = [rng.randrange(len(clean) - 500) for _ in range(2)]
+        return " ".join([*clean[cuts[0]:cuts[0] + 250], " ".join(notices), *clean[cuts[1]:cuts[1] + 250]])
+
+    first = {f: t[0] for f, t in licences.TEMPLATES.items()}
+    lines = {f: amid(t) for f, t in first.items()} | {
+        "apache,mit": "Licensed under the Apache License, Version 2.0. Released under the MIT License.", "bsd,gpl": amid(first["gpl"], first["bsd"]),
+        "mit": amid(licences.TEMPLATES["mit"][3])}
+    rows = [(i, t) for i, t in enumerate(lines.values())] + [(1000 + i, t) for i, t in enumerate(texts)]
+    out = licences.licences(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: (r.families, r.n_lines) for r in out.filter("doc_id < 1000").collect()}
+    assert got == {i: (f, 1) for i, f in enumerate(lines)}
