@@ -17,6 +17,8 @@ from assetlake.session import pin
 BITS, TABLES, WIDTH = 64, 4, 16
 BALL = 2  # differing bits that a table bridges: one on either side
 RADIUS = TABLES * (BALL + 1) - 1
+MET, MOST = 0.98, 32  # the share of pairs at the limit that must meet, and the most codes for that
+BLOCK = 2048
 
 
 def fit_rotation(sample: np.ndarray, bits: int = BITS, rounds: int = 50, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -39,16 +41,72 @@ def fit_rotation(sample: np.ndarray, bits: int = BITS, rounds: int = 50, seed: i
     return mean, np.hstack(parts)[:, :bits]
 
 
-def codes(classes: DataFrame, mean: np.ndarray, projection: np.ndarray) -> DataFrame:
-    """``number, code`` of unit vectors, the code as a signed long."""
+def partners(x: np.ndarray, least: float, seed: int = 6) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Unit vectors, and others at cosine ``least`` from them: to any side, and towards other vectors of the sample."""
+    random = np.random.default_rng(seed)
+    out = []
+    for side in (random.standard_normal(x.shape), x[random.permutation(len(x))] - x):
+        side = side - (side * x).sum(axis=1)[:, None] * x
+        length = np.linalg.norm(side, axis=1)
+        some = length > 1e-9
+        out.append((x[some], least * x[some] + np.sqrt(max(1 - least**2, 0)) * side[some] / length[some][:, None]))
+    return out
+
+
+def fit_codes(sample: np.ndarray, least: float, met: float = MET, most: int = MOST) -> list[tuple[np.ndarray, np.ndarray]]:
+    """So many rotations that of pairs at cosine ``least`` the share ``met`` lies within the radius in some code.
+
+    Measured on partners drawn for sampled vectors. None at all, if more than ``most`` would be needed.
+    """
+    x = sample[:4000]
+    sides = [(a, b) for a, b in partners(x, least) if len(a)]
+    found, seen = [], [np.zeros(len(a), dtype=bool) for a, _ in sides]
+    while True:
+        mean, turn = fit_rotation(sample if not found else sample[:4000], seed=5 + 101 * len(found))
+        found.append((mean, turn))
+        for s, (a, b) in zip(seen, sides):
+            s |= (((a - mean) @ turn > 0) != ((b - mean) @ turn > 0)).sum(axis=1) <= RADIUS
+        share = min((s.mean() for s in seen), default=0.0)
+        if share >= met:
+            return found
+        if len(found) == most or (1 - share) ** (most / len(found)) > 1 - met:
+            return []
+
+
+def codes(classes: DataFrame, fitted: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``number, code, turn`` of unit vectors, a row for each rotation, the code as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signs = (vectors.matrix(batch.column(1)) - mean) @ projection > 0
-            packed = np.packbits(signs, axis=1, bitorder="little").view("<u8").reshape(-1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed)], ["number", "code"])
+            unit = vectors.matrix(batch.column(1))
+            for i, (mean, projection) in enumerate(fitted if batch.num_rows else []):
+                packed = np.packbits((unit - mean) @ projection > 0, axis=1, bitorder="little").view("<u8").reshape(-1).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(packed), pa.array(np.full(len(packed), i, dtype=np.int32))], ["number", "code", "turn"])
+
+    return classes.select("number", "unit").mapInArrow(run, "number long, code long, turn int")
+
+
+def all_pairs(classes: DataFrame, least: float) -> DataFrame:
+    """``a < b`` of rows whose cosine may reach ``least``, by comparing every block of rows with every other."""
+    blocks = -(-classes.count() // BLOCK)
+    number, least = F.pmod(F.xxhash64("number"), F.lit(max(blocks, 1))).cast("int"), least - 1e-9
+    cells = F.transform(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1)), lambda i: F.struct(
+        F.least(i, "block").alias("low"), F.greatest(i, "block").alias("high")))
+    dealt = classes.select("number", "unit", number.alias("block")).select("number", "unit", "block", F.explode(cells).alias("c")).select(
+        "number", "unit", "block", "c.*")
+
+    def group(rows: pa.Table) -> pa.Table:
+        low = rows.column("low")[0].as_py()
+        high = rows.column("high")[0].as_py()
+        block, ids, unit = rows.column("block").to_numpy(), rows.column("number").to_numpy(), vectors.matrix(rows.column("unit"))
+        one, two = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        i, j = np.nonzero(unit[one] @ unit[two].T >= least) if len(one) and len(two) else (one[:0], two[:0])
+        a, b = ids[one[i]], ids[two[j]]
+        kept = a < b if low == high else a != b
+        return pa.table({"a": np.minimum(a, b)[kept], "b": np.maximum(a, b)[kept]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    return classes.select("number", "unit").mapInArrow(run, "number long, code long")
+    return dealt.groupBy("low", "high").applyInArrow(group, "a long, b long")
 
 
 def _part(code: Column, i: int) -> Column:
@@ -62,15 +120,17 @@ def code_pairs(coded: DataFrame, radius: int = RADIUS) -> DataFrame:
     Every row stands in each part's table under its own value and the values one bit away, so
     two rows two bits apart meet half-way: 17 rows for each part in place of a ball of 137. A pair is taken
     in the first part that it meets in, at the smaller of the two values between them, which both
-    rows can tell within the join; so no distinct step follows.
+    rows can tell within the join; so no distinct step follows. Codes of several ``turn`` are compared
+    each with its own, and a pair may come once for each.
     """
     masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(WIDTH)])
 
     def around(i: int) -> Column:
         return F.transform(masks, lambda m: F.struct(F.lit(i).alias("part"), _part(F.col("code"), i).bitwiseXOR(m).alias("value")))
 
-    stored = coded.select("number", "code", F.explode(F.concat(*[around(i) for i in range(TABLES)])).alias("k")).select("number", "code", "k.*")
-    left, right = (stored.select("part", "value", F.col("number").alias(n), F.col("code").alias(f"code_{n}")) for n in "ab")
+    turn = ["turn"] if "turn" in coded.columns else []
+    stored = coded.select(*turn, "number", "code", F.explode(F.concat(*[around(i) for i in range(TABLES)])).alias("k")).select(*turn, "number", "code", "k.*")
+    left, right = (stored.select(*turn, "part", "value", F.col("number").alias(n), F.col("code").alias(f"code_{n}")) for n in "ab")
     x = F.col("code_a").bitwiseXOR(F.col("code_b"))
     near = [F.bit_count(_part(x, i)) <= BALL for i in range(TABLES)]
     first, between = F.lit(False), F.lit(None).cast("long")
@@ -84,7 +144,7 @@ def code_pairs(coded: DataFrame, radius: int = RADIUS) -> DataFrame:
             earlier = earlier & ~near[j]
         first = F.when(here, near[i] & earlier).otherwise(first)
     # Spark takes the tables for as small as the codes that they repeat 68 times.
-    return left.join(right.hint("merge"), ["part", "value"]).filter(
+    return left.join(right.hint("merge"), [*turn, "part", "value"]).filter(
         (F.col("a") < F.col("b")) & (F.bit_count(x) <= radius) & first & (F.col("value") == between)).select("a", "b")
 
 
@@ -93,8 +153,9 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedd
 
     The rotation is learned on up to ``sample_rows`` vectors; all vectors are coded. Equal vectors are one class, linked
     and counted by its size, so copies are never paired. Pairs of codes within the radius are verified by
-    cosine on the original vectors in double precision. A pair exactly at 0.95 differs in six or seven of 64 bits
-    on average, and is met up to 11; closer pairs differ in fewer.
+    cosine on the original vectors in double precision. The radius is 11 of 64 bits. How many codes, each by a rotation of its own, are
+    needed for pairs exactly at ``least`` is measured on partners drawn for the sample: 98 % must meet, and
+    closer pairs differ in fewer bits. Where no bounded number is enough, as with a low ``least``, all pairs are compared.
 
     A vector that is null, zero, of an uncommon length, or that holds nulls or numbers that are not finite
     links with nothing: no links, its own component, kept. A row without key has no component and is not
@@ -113,7 +174,9 @@ def near_duplicates(table: DataFrame, key: str = "vec_id", vector: str = "embedd
     sample = vectors.bounded_sample(classes, "unit", sample_rows)
     if not len(sample):
         return plain
-    pairs = code_pairs(pin(codes(classes, *fit_rotation(sample))))
+    fitted = fit_codes(sample, least)
+    pairs = code_pairs(pin(codes(classes, fitted)).drop(*["turn"] * (len(fitted) == 1))) if fitted else all_pairs(classes, least)
+    pairs = pairs.distinct() if len(fitted) > 1 else pairs
     side = lambda n: classes.select(F.col("number").alias(n), F.col("vector").alias(f"v{n}"), F.col("norm").alias(f"norm_{n}"), F.col("n").alias(f"n_{n}"))
     cosine = vectors.dot("va", "vb") / (F.col("norm_a") * F.col("norm_b"))
     links = pin(pairs.join(side("a"), "a").join(side("b"), "b").filter(cosine >= least).select("a", "b", "n_a", "n_b"))

@@ -57,6 +57,24 @@ def test_pairs_at_the_limit_meet():
     assert (apart <= itq.RADIUS).mean() > 0.95
 
 
+@pytest.mark.parametrize(("shared", "least"), [(0.7, 0.95), (0.85, 0.95), (0.0, 0.8), (0.0, 0.5)])
+def test_pairs_at_the_limit_meet_whatever_the_mean_and_limit(spark, shared, least):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1200, 64))
+    x[:, 1:] /= np.linalg.norm(x[:, 1:], axis=1)[:, None]
+    x = np.hstack([np.full((1200, 1), np.sqrt(shared)), np.sqrt(1 - shared) * x[:, 1:]])
+    side = rng.standard_normal(x.shape)
+    side -= (side * x).sum(axis=1)[:, None] * x
+    at = least + 1e-4
+    y = at * x + np.sqrt(1 - at**2) * side / np.linalg.norm(side, axis=1)[:, None]
+    rows = [(i, [float(e) for e in v]) for i, v in enumerate(np.vstack([x, y]))]
+    out = {r.vec_id: r.n_links for r in itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), least=least).collect()}
+    both = np.vstack([x, y])
+    near = both @ both.T >= least
+    want = near.sum(axis=1) - 1
+    assert want.min() >= 1 and sum(out.values()) >= 0.96 * want.sum() and all(out[i] <= want[i] for i in out)
+
+
 def test_code_pairs_are_all_pairs(spark):
     import random
 
