@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlake.llm import ann, itq, licences, mixing, packing, quality, secrets, sharding, simhash, warc
+from assetlake.llm import ann, bpe, itq, licences, mixing, packing, quality, secrets, sharding, simhash, warc
 from assetlake.llm.common import table
 from assetlake.session import scratch_path
 
@@ -144,3 +144,13 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     warc.write_archives(table(spark, folder, "pages"), path)
     return warc.read_archives(spark, path, payloads=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op13_bpe_round_trip")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = bpe.encode(table(spark, folder, "documents"), path)
+    told = ids.select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))
+    texts = bpe.decode(told, path, keep=["doc_id", "n_tokens", "ids_sha256"])
+    return texts.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
