@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlake.llm import ann, bpe, itq, licences, mixing, packing, quality, secrets, sharding, simhash, warc
+from assetlake.llm import ann, bpe, conversations, itq, licences, mixing, packing, quality, secrets, sharding, simhash, warc
 from assetlake.llm.common import table
+from assetlake.operators.skew import null_safe_join
 from assetlake.session import scratch_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +155,24 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))
     texts = bpe.decode(told, path, keep=["doc_id", "n_tokens", "ids_sha256"])
     return texts.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def _damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with a fault of a known kind in every fourth turn or so."""
+    kept = rows.select("conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")])
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    fate = kept.withColumn("fate", F.crc32(name.cast("binary")) % 20).filter("fate <> 0")
+    text = F.when(F.col("fate") == 1, "").when(F.col("fate") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fate") == 4, "user").otherwise(F.col("role"))
+    times = F.array_repeat(F.lit(1), F.when(F.col("fate") == 3, 2).otherwise(1))
+    return fate.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(times)).drop("col")
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    found = conversations.audits(_damaged(rows))
+    all_ = null_safe_join(rows.select("conv_id").distinct(), found, ["conv_id"], "left")
+    return all_.select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
