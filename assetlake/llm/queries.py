@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import functools
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlake.llm import ann, bpe, conversations, itq, licences, mixing, packing, quality, secrets, sharding, simhash, warc
+from assetlake.llm import ann, bpe, conversations, itq, licences, mixing, packing, quality, secrets, sharding, simhash, spelling, warc
 from assetlake.llm.common import table
 from assetlake.operators.skew import null_safe_join
 from assetlake.session import scratch_path
@@ -176,3 +177,44 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     return all_.select(
         "conv_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
         F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+# A word that a cut of one letter in 97 spoils, with the letters as code points; the check sum by its table of bytes.
+_SPELLING_SQL = """
+with recursive bits as (select i, i::ubigint as c, 0 as k from range(256) t(i)
+  union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end, k + 1 from bits where k < 8),
+crc as (select list(c order by i) as t from bits where k = 8),
+runs as (select doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as r, count(*) as n
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{5,}')) as r from documents) group by all),
+summed as (select r, n, xor(4294967295::ubigint, list_reduce(
+    list_prepend(4294967295::ubigint, list_transform(range(1, 2 * strlen(k) + 1, 2), lambda p: ('0x' || substr(hex(encode(k)), p, 2))::ubigint)),
+    lambda c, b: xor(c >> 8, t[(xor(c & 255, b) + 1)::bigint]))) as h
+  from (select r, n, doc_id || ':' || r as k from runs), crc),
+v as (select word, sum(n)::bigint as n from (
+    select case when h % 97 = 0 then substr(r, 1, (h % length(r))::int) || substr(r, (h % length(r))::int + 2) else r end as word, n from summed)
+  where length(word) >= 5 group by word having sum(n) >= 3),
+cut as (select word, n, length(word) as m, p, substr(word, 1, p - 1) || substr(word, p + 1) as part from v, lateral (select unnest(range(1, length(word) + 1))) t(p)),
+pairs as (select a.word as a, b.word as b, b.n as bn from cut a join cut b on a.part = b.part and a.p = b.p and a.m = b.m and a.word <> b.word
+  union select c.word, v.word, v.n from cut c join v on c.part = v.word
+  union select v.word, c.word, c.n from cut c join v on c.part = v.word),
+near as (select a, count(*) as n_near, max(bn) as bn, min(struct_pack(k := -bn, w := b)).w as b from pairs group by a),
+told as (select word, n, coalesce(n_near, 0)::bigint as n_near, case when bn >= 2 * n then b end as form, case when bn >= 2 * n then bn end as form_n
+  from v left join near on a = word),
+led as (select word, form, 1 as k from told where form is not null
+  union all select led.word, told.form, k + 1 from led join told on told.word = led.form where told.form is not null)
+select t.word, t.form, coalesce(l.form, t.word) as root, t.n, t.n_near, t.form_n
+from told t left join (select word, arg_max(form, k) as form from led group by word) l on l.word = t.word"""
+
+
+@query("op11_spelling_variants", _SPELLING_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    # A shorter run makes no word of five letters.
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z\u00C0-\u00FF]{5,}"), F.lit(0))).alias("run"))
+    low = runs.select("doc_id", F.translate("run", string.ascii_uppercase, string.ascii_lowercase).alias("run"))
+    sum_ = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run").cast("binary"))
+    at = low.withColumn("sum", sum_).withColumn("at", (F.col("sum") % F.length("run")).cast("int"))
+    cut = F.concat(F.substring("run", F.lit(1), F.col("at")), F.substring("run", F.col("at") + 2, F.length("run")))
+    words = at.select(F.when(F.col("sum") % 97 == 0, cut).otherwise(F.col("run")).alias("word")).filter(F.length("word") >= 5)
+    often = words.groupBy("word").agg(F.count("*").alias("n")).filter("n >= 3")
+    return spelling.variants(often).select("word", "form", "root", "n", "n_near", "form_n")
