@@ -56,17 +56,27 @@ class Vocabulary:
         for content, i in self.added.items():
             self.bytes_of[i] = content.encode()
         self._halves([m.split(" ") if isinstance(m, str) else m for m in model["merges"]], ids)
-        # The tree of all tokens, by bytes: where a node and a byte lead, and the token that ends at a node.
-        self.child: dict[int, int] = {}
-        self.ends: list[int] = [-1]
+        self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+
+    @functools.cached_property
+    def tree(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All tokens by bytes: the line of each node that goes on, the 256 ways of a line (0 for none), and the token that ends at a node."""
+        child: dict[tuple[int, int], int] = {}
+        ends = [-1, -1]  # no node, and the root
         for token, i in self.by_bytes.items():
-            node = 0
+            node = 1
             for b in token:
-                node = self.child.setdefault(node << 8 | b, len(self.ends))
-                if node == len(self.ends):
-                    self.ends.append(-1)
-            self.ends[node] = i
-        self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+                node = child.setdefault((node, b), len(ends))
+                if node == len(ends):
+                    ends.append(-1)
+            ends[node] = i
+        inner = sorted({node for node, _ in child})
+        line = np.zeros(len(ends), dtype=np.int64)
+        line[inner] = np.arange(1, len(inner) + 1)
+        ways = np.zeros((len(inner) + 1, 256), dtype=np.int32)
+        for (node, b), to in child.items():
+            ways[line[node], b] = to
+        return line, ways, np.array(ends, dtype=np.int64)
 
     def _halves(self, merges: list[Sequence[str]], ids: dict[str, int]) -> None:
         self.rank = np.full(self.size, -1, dtype=np.int64)
@@ -83,7 +93,8 @@ class Vocabulary:
             raise ValueError("a merge must follow those of its halves")
         keys = a * self.size + b
         order = np.argsort(keys)
-        self.keys, self.key_rank, self.key_made = keys[order], ranks[order], made[order]
+        self.keys, self.key_rank, self.made = keys[order], ranks[order], made
+        self.byte_ids = np.array([self.by_bytes[bytes([k])] for k in range(256)])
         self.merge_of = {(int(x), int(y)): (int(r), int(m)) for x, y, r, m in zip(a, b, ranks, made)}
         # Whether the bytes of a token come back as that token: nothing may cross its middle before its own merge.
         fits = self.compatible(a, b, ranks)
@@ -98,9 +109,7 @@ class Vocabulary:
         until = np.broadcast_to(np.asarray(until, dtype=np.int64), a.shape).copy()
         ok, at = np.ones(len(a), dtype=bool), np.arange(len(a))
         while len(at):
-            keys = a * self.size + b
-            place = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-            crosses = (self.keys[place] == keys) & (self.key_rank[place] < until) if len(self.keys) else np.zeros(len(at), bool)
+            crosses = self._ranks(a, b) < until
             ok[at[crosses]] = False
             ra, rb = self.rank[a], self.rank[b]
             # Of equal merges the left one comes first, so the right token is taken apart first.
@@ -110,42 +119,79 @@ class Vocabulary:
             a, b, at = np.where(first, self.right[a], a)[going], np.where(first, b, self.left[b])[going], at[going]
         return ok
 
-    def proposal(self, word: bytes) -> list[int]:
-        """The longest token at each place, from the left."""
-        found, start, size, child, ends = [], 0, len(word), self.child, self.ends
-        while start < size:
-            node, at, token, end = 0, start, -1, start
-            while at < size:
-                node = child.get(node << 8 | word[at])
-                if node is None:
-                    break
-                at += 1
-                if ends[node] >= 0:
-                    token, end = ends[node], at
-            found.append(token)
-            start = end
-        return found
-
-    def merged(self, word: bytes) -> list[int]:
-        """Exact merging: the pair of the least rank first, from the left."""
-        ids = [self.by_bytes[word[i:i + 1]] for i in range(len(word))]
-        if len(ids) > 100:
-            return self._merged_by_heap(ids)
-        none = (_NEVER, -1)
-        merge = self.merge_of.get
-        pairs = [merge(p, none) for p in zip(ids, ids[1:])]
-        while pairs and (least := min(pairs)) is not none:
-            i = pairs.index(least)
-            ids[i:i + 2] = [least[1]]
-            del pairs[i]
-            if i:
-                pairs[i - 1] = merge((ids[i - 1], ids[i]), none)
-            if i < len(pairs):
-                pairs[i] = merge((ids[i], ids[i + 1]), none)
-        return ids
+    def proposals(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The longest token at each place of each word, from the left; all words step together. Tokens and the word of each, in order."""
+        line, ways, ends = self.tree
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        stop = np.cumsum(size)
+        text = np.frombuffer(b"".join(words) + b"\0", dtype=np.uint8)
+        word = np.flatnonzero(size)
+        at = stop[word] - size[word]
+        start, stop = at.copy(), stop[word]
+        node, token, end = np.ones(len(word), np.int64), np.full(len(word), -1), at.copy()
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(word):
+            node = np.where(at < stop, ways[line[node], text[np.minimum(at, stop)]], 0)
+            at = at + 1
+            ended = ends[node]
+            hit = ended >= 0
+            token, end = np.where(hit, ended, token), np.where(hit, at, end)
+            over = node == 0
+            if over.any():
+                found.append((start[over], word[over], token[over]))
+                start, at, node = np.where(over, end, start), np.where(over, end, at), np.where(over, 1, node)
+                left = start < stop
+                if not left.all():
+                    word, at, start, stop, node, token, end = (x[left] for x in (word, at, start, stop, node, token, end))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        starts, of, tokens = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(starts)
+        return tokens[order], of[order]
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of the merge of each pair, or never."""
+        if not len(self.keys):
+            return np.full(len(a), _NEVER)
+        keys = a * self.size + b
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[place] == keys, self.key_rank[place], _NEVER)
+
+    def merged(self, words: Sequence[bytes]) -> list[bytes]:
+        """Exact merging: the pair of the least rank first, from the left; one merge of every word at a time."""
+        out: list[bytes] = [b""] * len(words)
+        for k, w in enumerate(words):
+            if len(w) > 100:
+                out[k] = np.array(self._merged_by_heap([self.byte_ids[b] for b in w]), dtype="<u4").tobytes()
+        short = [k for k, w in enumerate(words) if 0 < len(w) <= 100]
+        word = np.repeat(short, [len(words[k]) for k in short]).astype(np.int64)
+        ids = self.byte_ids[np.frombuffer(b"".join([words[k] for k in short]), dtype=np.uint8)]
+        rank = np.append(np.where(word[1:] == word[:-1], self._ranks(ids[:-1], ids[1:]), _NEVER), _NEVER)[:len(ids)]
+        while len(ids):
+            starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            least = np.minimum.reduceat(rank, starts)
+            sizes = np.diff(starts, append=len(ids))
+            each = np.repeat(least, sizes)
+            if (done := each == _NEVER).any():
+                raw, at = ids[done].astype("<u4").tobytes(), 0
+                for k, n in zip(word[starts[least == _NEVER]].tolist(), sizes[least == _NEVER].tolist()):
+                    out[k], at = raw[at:at + 4 * n], at + 4 * n
+                ids, word, rank, each = ids[~done], word[~done], rank[~done], each[~done]
+            here = np.flatnonzero(rank == each)
+            here = here[np.append(True, word[here][1:] != word[here][:-1])[:len(here)]]
+            ids[here] = self.made[rank[here]]
+            stay = np.ones(len(ids), dtype=bool)
+            stay[here + 1] = False
+            ids, word, rank = ids[stay], word[stay], rank[stay]
+            here = here - np.arange(len(here))
+            for at in (here, here[here > 0] - 1):
+                after = np.minimum(at + 1, len(ids) - 1)
+                rank[at] = np.where((after > at) & (word[at] == word[after]), self._ranks(ids[at], ids[after]), _NEVER)
+        return out
 
     def _merged_by_heap(self, ids: list[int]) -> list[int]:
-        """The same in order of length times its logarithm."""
+        """The same for one long word, in order of length times its logarithm."""
+        ids = [int(i) for i in ids]
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         heap = [(m[0], i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (m := self.merge_of.get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
@@ -165,20 +211,20 @@ class Vocabulary:
 
     def encode_words(self, words: Sequence[bytes]) -> list[bytes]:
         """The ids of each word as little-endian 32-bit numbers."""
-        proposals = [self.proposal(w) for w in words]
-        ends = np.cumsum([len(p) for p in proposals], dtype=np.int64)
-        flat = np.fromiter((i for p in proposals for i in p), dtype=np.int64, count=int(ends[-1]) if len(ends) else 0)
-        word_of = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
-        inside = np.flatnonzero(word_of[1:] == word_of[:-1])
+        flat, of = self.proposals(words)
+        inside = np.flatnonzero(of[1:] == of[:-1])
         pairs, which = np.unique(flat[inside] * self.size + flat[inside + 1], return_inverse=True)
         fits = self.compatible(pairs // self.size, pairs % self.size)
         good = np.ones(len(words), dtype=bool)
-        good[word_of[inside[~fits[which]]]] = False
-        good[word_of[~self.sound[flat]]] = False
-        raw, starts = flat.astype("<u4").tobytes(), np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        return [
-            raw[4 * s:4 * e] if ok else np.array(self.merged(w), dtype="<u4").tobytes()
-            for w, s, e, ok in zip(words, starts.tolist(), ends.tolist(), good.tolist())]
+        good[of[inside[~fits[which]]]] = False
+        good[of[~self.sound[flat]]] = False
+        ends = 4 * np.cumsum(np.bincount(of, minlength=len(words)))
+        raw = flat.astype("<u4").tobytes()
+        out = [raw[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        failing = np.flatnonzero(~good).tolist()
+        for k, ids in zip(failing, self.merged([words[k] for k in failing])):
+            out[k] = ids
+        return out
 
 
 class Encoder:
@@ -190,9 +236,10 @@ class Encoder:
     """
 
     _CUT = re.compile(f" (?=[^{_SPACE}])")
+    _SIGNS = ".,;:!?"
     _ODD = re.compile(f" (?:[{_SPACE}]|\\Z)")
 
-    def __init__(self, vocabulary: Vocabulary, most_bytes: int = 50_000_000):
+    def __init__(self, vocabulary: Vocabulary, most_bytes: int = 80_000_000):
         self.vocabulary, self.most, self.used = vocabulary, most_bytes, 0
         self.known: dict[str, bytes] = {}
         self.words = regex.compile(_WORDS)
@@ -211,15 +258,26 @@ class Encoder:
             start, lead = found.end(), ""
 
     def _learn(self, pieces: set[str]) -> None:
+        """Words have the same names as pieces, so that a word met in one piece is known in all."""
         if self.used > self.most:
             self.known = {p: self.known[p] for p in pieces if p in self.known}
-            self.used = sum(250 + len(p) + len(ids) for p, ids in self.known.items())
-        cut = {p: [w.encode() for w in self.words.findall(p[1:] if p[0] == "\n" else f" {p}")] for p in pieces.difference(self.known)}
-        words: dict[bytes, bytes] = dict.fromkeys(w for parts in cut.values() for w in parts)
-        words.update(zip(words, self.vocabulary.encode_words(list(words))))
+            self.used = sum(250 + len(p) for p in self.known)
+        words, cut = [], {}
+        for p in pieces.difference(self.known):
+            if p.isalpha():
+                words.append(p)
+            elif p[-1] in self._SIGNS and p[:-1].isalpha():
+                cut[p] = (p[:-1], "\n" + p[-1])
+            else:
+                cut[p] = [w[1:] if w[0] == " " and w[1:2] not in ("", "\n") else "\n" + w for w in self.words.findall(p[1:] if p[0] == "\n" else f" {p}")]
+        if cut:
+            words = list({w for parts in cut.values() for w in parts}.difference(self.known).union(words))
+        text = [(w[1:] if w[0] == "\n" else f" {w}").encode() for w in words]
+        self.known.update(zip(words, self.vocabulary.encode_words(text)))
+        ids_of = self.known.__getitem__
         for p, parts in cut.items():
-            ids = self.known[p] = b"".join([words[w] for w in parts])
-            self.used += 250 + len(p) + len(ids)
+            self.known[p] = b"".join(map(ids_of, parts))
+        self.used += sum(250 + len(p) for p in words) + sum(250 + len(p) for p in cut)
 
     def _parts(self, text: str) -> Iterator[list[str] | bytes]:
         at = 0
