@@ -6,6 +6,7 @@ one task:
 * ``best_per_key`` reduces before the shuffle,
 * ``attach`` joins a one-row-per-key table back; the adaptive skew join splits heavy keys,
 * ``number_rows`` numbers a sorted table without a one-partition window,
+* ``row_blocks`` cuts a sorted table into blocks of bounded rows, within keys too,
 * ``running_total`` and ``carry_forward`` run ordered logic over bounded blocks and pass
   only one row per block between them,
 * ``member_lists`` writes a long list as several bounded rows.
@@ -13,6 +14,7 @@ one task:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W
@@ -134,6 +136,20 @@ def carry_forward(
     )
 
 
+def row_blocks(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "_block", block_rows: int = 1_000_000) -> DataFrame:
+    """Adds a block number: blocks of about ``block_rows`` rows, ascending by (by, order) whatever the rows of a key.
+
+    Few rows are one block as they stand. More are dealt by range and pinned, so that a later scan sees the same blocks:
+    what a window computes in one (key, block) is carried over blocks by one row for each. The order should be
+    unique per key; equal rows stand in one block.
+    """
+    blocks = math.ceil(df.count() / block_rows)
+    if blocks <= 1:
+        return df.withColumn(name, F.lit(0))
+    ranged = df.repartitionByRange(blocks, *[F.col(c).asc_nulls_first() for c in (*by, *order)])
+    return pin(ranged).withColumn(name, F.spark_partition_id())
+
+
 def part_number(value: str | Column, parts: str | Column) -> Column:
     """A part 0..parts-1 chosen by the MD5 of the value, the same in any engine."""
     head = F.conv(F.substring(F.md5(_col(value)), 1, 8), 16, 10).cast("long")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from assetlake.functions import constants as C
-from assetlake.operators.skew import attach, best_per_key, carry_forward, null_safe_join, number_rows, running_total
+from assetlake.operators.skew import attach, best_per_key, carry_forward, null_safe_join, number_rows, row_blocks, running_total
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -35,6 +35,18 @@ def last_n(df: DataFrame, key: str, order: Sequence[str], n: int = C.HISTORY_LEN
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
+def last_n_salted(df: DataFrame, key: str, order: Sequence[str], n: int = C.HISTORY_LENGTH, salts: int = 64) -> DataFrame:
+    """The last ``n`` rows per key in two steps: of each share of a key, then of what the shares keep.
+
+    No task sees more than its share of a key, and the last step ``salts`` times ``n`` rows of a key at most, whatever the number of
+    input tasks. The order must end in a unique column.
+    """
+    by = [F.desc(c) for c in order]
+    share = W.partitionBy(key, "_salt").orderBy(*by)
+    kept = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts))).withColumn("_r", F.row_number().over(share)).filter(F.col("_r") <= n)
+    return kept.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(*by))).filter(F.col("_r") <= n).select(*df.columns)
+
+
 def sequence(df: DataFrame, order: Sequence[str | Column], reset_on: Sequence[str] = (), name: str = "seq") -> DataFrame:
     """Numbers from 1 that restart on date, camera or folder columns, or never."""
     return number_rows(df, order, reset_on, name)
@@ -125,23 +137,38 @@ def keep_backups(backups: DataFrame, key: str, ts: str, keep: Mapping[str, int]
     return kept.groupBy(*cols).agg(F.array_join(F.sort_array(F.collect_set("_period")), ",").alias("kept_as"))
 
 
+def signals(readings: DataFrame, pause: float = C.PAUSE_CELSIUS, resume: float = C.RESUME_CELSIUS) -> DataFrame:
+    """Readings at or beyond a limit, with the ``event`` that they call for. Those between the limits say nothing."""
+    t = F.col("temperature")
+    event = F.when(t >= pause, "THERMAL_PAUSE").when(t <= resume, "THERMAL_RESUME")
+    return readings.select("drive", "ts", "event_id", "temperature", event.alias("event")).filter("event is not null")
+
+
+def last_signals(found: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """``drive, ts, event_id, event``: the last signal of each drive, also of those that only ``before`` has."""
+    rows = found.select("drive", "ts", "event_id", "event")
+    return latest_per_key(rows if before is None else rows.unionByName(before), ["drive"], ["ts", "event_id"])
+
+
 def thermal_events(
-    readings: DataFrame, pause: float = C.PAUSE_CELSIUS, resume: float = C.RESUME_CELSIUS, block: str = "hour",
+    readings: DataFrame, pause: float = C.PAUSE_CELSIUS, resume: float = C.RESUME_CELSIUS, before: DataFrame | None = None,
+    block_rows: int = 1_000_000,
 ) -> DataFrame:
     """Pause and resume transitions per drive: pause at or above one limit while running,
     resume at or below the other while paused.
 
-    Readings between the limits carry no signal and are dropped first. The state before a
-    reading is the last signal of its drive, found within a block of time and carried from
-    block to block.
+    A scan of state transitions: every signal sets the state whatever it was, so a run of readings does to the state
+    what its last signal does. Blocks of bounded rows (``row_blocks``) find the state before each of their own signals and pass on one
+    row per drive. ``before`` has the state that each drive comes with, as ``last_signals`` returns it; others are running.
     """
-    t = F.col("temperature")
-    signal = F.when(t >= pause, "THERMAL_PAUSE").when(t <= resume, "THERMAL_RESUME")
-    s = readings.withColumn("event", signal).filter("event is not null").withColumn("_block", F.date_trunc(block, "ts"))
-    prev = carry_forward(s, ["drive"], "_block", ["ts", "event_id"], "event", "_prev")
-    before = F.coalesce("_prev", F.lit("THERMAL_RESUME"))
+    blocks = row_blocks(signals(readings, pause, resume), ["drive"], ["ts", "event_id"], block_rows=block_rows)
+    found = carry_forward(blocks, ["drive"], "_block", ["ts", "event_id"], "event", "_prev")
+    state = F.coalesce("_prev", F.lit("THERMAL_RESUME"))
+    if before is not None:
+        found = null_safe_join(found, before.select("drive", F.col("event").alias("_came")), ["drive"], "left")
+        state = F.coalesce("_prev", "_came", F.lit("THERMAL_RESUME"))
     limit = F.when(F.col("event") == "THERMAL_PAUSE", F.lit(float(pause))).otherwise(F.lit(float(resume)))
-    return prev.filter(F.col("event") != before).select(
+    return found.filter(F.col("event") != state).select(
         "drive", "ts", "event_id", "event", "temperature", limit.alias("threshold"))
 
 

@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from assetlake.functions import constants as C
+from assetlake.operators.skew import carry_forward, row_blocks
 from assetlake.streaming.run import prepare_stateful
 
-EVENTS = "task_id string, last_heartbeat timestamp, failed_at timestamp, status string, error_message string"
-
-
 def latest_beats(beats: DataFrame) -> DataFrame:
     """The latest beat per task, for update mode. Partial aggregates run before the shuffle."""
     rest = [c for c in beats.columns if c not in ("task_id", "ts")]
@@ -23,67 +17,21 @@ def latest_beats(beats: DataFrame) -> DataFrame:
         "task_id", F.col("b.ts").alias("last_heartbeat"), *[F.col(f"b.{c}").alias(c) for c in rest], "beats")
 
 
-class Timeout(StatefulProcessor):
-    """Reports a task when no beat follows its last one for some minutes.
-
-    A gap between beats is reported when the later beat arrives, or before that when the
-    watermark passes the limit, and only once.
-    """
-
-    def __init__(self, limit_ms: int):
-        self.limit_ms = limit_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "ms bigint, reported boolean")
-
-    def _event(self, key, ms: int) -> dict:
-        return {
-            "task_id": key[0], "last_heartbeat": pd.Timestamp(ms, unit="ms"), "failed_at": pd.Timestamp(ms + self.limit_ms, unit="ms"),
-            "status": "FAILED", "error_message": C.STALE_MESSAGE,
-        }
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = sorted({int(t) for pdf in rows for t in pdf["ms"]})
-        state = self.last.get() if self.last.exists() else None
-        prev, reported = (state[0], state[1]) if state else (None, True)
-        out = []
-        for ms in times:
-            if prev is not None and ms <= prev:
-                continue
-            if prev is not None and not reported and ms - prev > self.limit_ms:
-                out.append(self._event(key, prev))
-            prev, reported = ms, False
-        if state is None or prev != state[0]:
-            for t in list(self.handle.listTimers()):
-                self.handle.deleteTimer(t)
-            self.last.update((prev, reported))
-            self.handle.registerTimer(prev + self.limit_ms + 1)
-        yield pd.DataFrame(out, columns=["task_id", "last_heartbeat", "failed_at", "status", "error_message"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        prev, reported = self.last.get()
-        if reported:
-            yield pd.DataFrame(columns=["task_id", "last_heartbeat", "failed_at", "status", "error_message"])
-        else:
-            self.last.update((prev, True))
-            yield pd.DataFrame([self._event(key, prev)])
-
-    def close(self) -> None:
-        pass
-
-
 def stale_events(beats: DataFrame, delay: str = "1 minute", minutes: int = C.STALE_MINUTES) -> DataFrame:
-    """FAILED events of tasks without a beat for some minutes of event time.
+    """FAILED events of tasks without a beat for some minutes of event time, as a stream.
 
-    Only the task and the time reach the state, and a batch holds as many beats as the source
-    admits per trigger. Beats later than the watermark are dropped. The last silent task is
-    reported when any later beat moves the watermark past its limit.
+    A task fails where a session of its beats ends: a gap of more than the limit closes it when a later beat comes, or before
+    that when the watermark passes the limit, and only once. Sessions of a batch are merged before the shuffle, so a hot task sends a few rows per
+    input task. Times count in whole milliseconds. Beats later than the watermark are dropped. The last silent task is reported
+    when any later beat moves the watermark past its limit.
     """
     prepare_stateful(beats.sparkSession)
-    thin = beats.select("task_id", "ts").withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts"))
-    return thin.groupBy("task_id").transformWithStateInPandas(
-        statefulProcessor=Timeout(minutes * 60_000), outputStructType=EVENTS, outputMode="append", timeMode="eventTime")
+    limit = minutes * 60_000
+    thin = beats.select("task_id", F.timestamp_millis(F.unix_millis("ts")).alias("ts")).withWatermark("ts", delay)
+    # Sessions that touch are merged; half a millisecond more and none touch that are over the limit apart.
+    closed = thin.groupBy("task_id", F.session_window("ts", f"{limit} milliseconds 500 microseconds").alias("s")).agg(F.max("ts").alias("last_heartbeat"))
+    return closed.select("task_id", "last_heartbeat", (F.col("last_heartbeat") + F.expr(f"interval {minutes} minutes")).alias("failed_at"),
+                         F.lit("FAILED").alias("status"), F.lit(C.STALE_MESSAGE).alias("error_message"))
 
 
 def stale_events_batch(beats: DataFrame, delay_seconds: int = 60, minutes: int = C.STALE_MINUTES) -> DataFrame:
@@ -107,9 +55,35 @@ def stale_events_batch(beats: DataFrame, delay_seconds: int = 60, minutes: int =
         F.lit("FAILED").alias("status"), F.lit(C.STALE_MESSAGE).alias("error_message"))
 
 
+_SESSION = ["task_id", "started", "ended", "beats", "max_progress"]
+
+
 def progress_sessions(beats: DataFrame, gap: str = "5 minutes", delay: str = "1 minute") -> DataFrame:
-    """Sessions of beats per task: start, end, beats, greatest progress."""
-    src = beats.withWatermark("ts", delay) if beats.isStreaming else beats
-    return src.groupBy("task_id", F.session_window("ts", gap).alias("s")).agg(
+    """Sessions of beats per task as a stream: start, end, beats, greatest progress. A session appears when the watermark
+    has passed its end; ``open_sessions`` has the others."""
+    prepare_stateful(beats.sparkSession)
+    return beats.withWatermark("ts", delay).groupBy("task_id", F.session_window("ts", gap).alias("s")).agg(
         F.count("*").alias("beats"), F.max("progress_pct").alias("max_progress")).select(
         "task_id", F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "beats", "max_progress")
+
+
+def open_sessions(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The sessions that a stopped stream of ``progress_sessions`` still holds, from its state."""
+    held = spark.read.format("statestore").load(checkpoint).select("value.*")
+    return held.select("task_id", "session_window.start", "session_window.end", "count", "max").toDF(*_SESSION)
+
+
+def progress_sessions_batch(beats: DataFrame, gap: str = "5 minutes", block_rows: int = 1_000_000) -> DataFrame:
+    """The same of a whole table, open sessions too.
+
+    Beats of one time are counted together. A beat that comes more than ``gap`` after the one before opens a session; which session
+    the others are in is found in blocks of bounded rows, also within one task.
+    """
+    times = beats.groupBy("task_id", "ts").agg(F.count("*").alias("_beats"), F.max("progress_pct").alias("_most"))
+    length = F.expr(f"interval {gap}")
+    blocks = row_blocks(times.filter("ts is not null"), ["task_id"], ["ts"], block_rows=block_rows)
+    after = carry_forward(blocks, ["task_id"], "_block", ["ts"], "ts", "_before")
+    opens = F.when(F.col("_before").isNull() | (F.col("ts") > F.col("_before") + length), F.col("ts"))
+    held = carry_forward(after.withColumn("_opens", opens), ["task_id"], "_block", ["ts"], "_opens", "_open")
+    return held.groupBy("task_id", F.coalesce("_opens", "_open").alias("started")).agg(
+        (F.max("ts") + length).alias("ended"), F.sum("_beats").alias("beats"), F.max("_most").alias("max_progress")).select(*_SESSION)

@@ -2,97 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from assetlake.functions import constants as C
-from assetlake.streaming.run import prepare_stateful
-
-_COLUMNS = ["drive", "ts", "event_id", "event", "temperature", "threshold"]
-
-
-class Hysteresis(StatefulProcessor):
-    """One flag per drive. Input rows carry a signal: pause or resume."""
-
-    def __init__(self, pause: float, resume: float):
-        self.pause, self.resume = pause, resume
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.paused = handle.getValueState("paused", "paused boolean")
+from assetlake.operators import windows as W
+from assetlake.streaming.run import drain_carrying
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # Signals only, within one micro-batch.
-        pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
-        hot = pdf["temperature"] >= self.pause
-        before = hot.shift(1)
-        before.iloc[0] = bool(self.paused.get()[0]) if self.paused.exists() else False
-        change = hot != before.astype(bool)
-        self.paused.update((bool(hot.iloc[-1]),))
-        out = pdf[change].copy()
-        out["drive"] = key[0]
-        now = hot[change]
-        out["event"] = now.map({True: "THERMAL_PAUSE", False: "THERMAL_RESUME"})
-        out["threshold"] = now.map({True: float(self.pause), False: float(self.resume)})
-        yield out[_COLUMNS]
 
-    def close(self) -> None:
-        pass
+def thermal_events_stream(
+    readings: DataFrame, pause: float = C.PAUSE_CELSIUS, resume: float = C.RESUME_CELSIUS, out: str | None = None, block_rows: int = 1_000_000,
+) -> DataFrame:
+    """Pause and resume events of all readings that are there, each with its ``batch_id``.
 
-
-def thermal_events_stream(readings: DataFrame, pause: float = C.PAUSE_CELSIUS, resume: float = C.RESUME_CELSIUS) -> DataFrame:
-    """Pause and resume events; readings between the limits never reach the state.
-
-    Readings of one drive are taken in time order within a batch; a batch holds as many rows
-    as the source admits per trigger.
+    Batches pass on the last signal of each drive. Within a batch, readings of one drive are taken in time order
+    by the same scan as in ``windows.thermal_events``, so a hot drive has many tasks. A batch of no signals passes the table on.
     """
-    prepare_stateful(readings.sparkSession)
-    t = F.col("temperature")
-    kind = readings.schema["drive"].dataType.simpleString()
-    signals = readings.filter((t >= pause) | (t <= resume)).select("drive", "ts", "event_id", "temperature")
-    return signals.groupBy("drive").transformWithStateInPandas(
-        statefulProcessor=Hysteresis(pause, resume),
-        outputStructType=f"drive {kind}, ts timestamp, event_id long, event string, temperature double, threshold double",
-        outputMode="append", timeMode="none")
 
+    def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        return W.thermal_events(batch, pause, resume, before, block_rows), W.last_signals(W.signals(batch, pause, resume), before)
 
-class History(StatefulProcessor):
-    """The last N readings per drive; emits the history size and mean after each batch."""
+    return drain_carrying(readings, "thermal", step, out)
 
-    def __init__(self, n: int):
-        self.n = n
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.rows = handle.getListState("rows", "us bigint, event_id bigint, temperature double")
+def history_stream(readings: DataFrame, n: int = C.HISTORY_LENGTH, out: str | None = None) -> DataFrame:
+    """The last ``n`` readings per drive, summarised after each batch for the drives that it has.
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        kept = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
-        for pdf in rows:
-            # Never more than N rows and one Arrow batch in memory.
-            kept.extend(zip(pdf["us"].tolist(), pdf["event_id"].tolist(), pdf["temperature"].tolist()))
-            kept = sorted(kept)[-self.n:]
-        self.rows.put(kept)
-        temps = [r[2] for r in kept]
-        yield pd.DataFrame({
-            "drive": [key[0]], "readings": [len(kept)], "oldest": [pd.Timestamp(kept[0][0], unit="us")],
-            "newest": [pd.Timestamp(kept[-1][0], unit="us")], "min_temperature": [min(temps)], "max_temperature": [max(temps)]})
-
-    def close(self) -> None:
-        pass
+    Batches pass on the table of the readings kept: at most ``n`` per drive. A hot drive is cut down in shares first.
+    """
 
+    def step(batch: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        new = W.last_n_salted(batch.select("drive", "ts", "event_id", "temperature"), "drive", ["ts", "event_id"], n)
+        kept = new if before is None else W.last_n(new.unionByName(before), "drive", ["ts", "event_id"], n)
+        touched = kept.join(new.select("drive").distinct(), "drive", "left_semi")
+        t = F.col("temperature")
+        return touched.groupBy("drive").agg(
+            F.count("*").alias("readings"), F.min("ts").alias("oldest"), F.max("ts").alias("newest"), F.min(t).alias("min_temperature"),
+            F.max(t).alias("max_temperature")), kept
 
-def history_stream(readings: DataFrame, n: int = C.HISTORY_LENGTH) -> DataFrame:
-    """Rolling history of the last ``n`` readings per drive, summarised per batch."""
-    prepare_stateful(readings.sparkSession)
-    kind = readings.schema["drive"].dataType.simpleString()
-    src = readings.select("drive", F.unix_micros("ts").alias("us"), "event_id", "temperature")
-    return src.groupBy("drive").transformWithStateInPandas(
-        statefulProcessor=History(n),
-        outputStructType=f"drive {kind}, readings long, oldest timestamp, newest timestamp, min_temperature double, max_temperature double",
-        outputMode="update", timeMode="none")
+    return drain_carrying(readings, "history", step, out)
 
 
 def windowed_statistics(readings: DataFrame, size: str = "1 hour", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assetlake.operators import windows as W
+from assetlake.session import scratch_path
 from assetlake.streaming import heartbeats as B
 from assetlake.streaming import intake as I
 from assetlake.streaming import thermal as H
@@ -67,7 +68,7 @@ SELECT drive, event_id, event, temperature FROM p WHERE event <> prev"""
 
 @query("R3_thermal_event_stream", _THERMAL)
 def thermal_stream(t):
-    return drain_append(H.thermal_events_stream(_readings(t)), "thermal").select("drive", "event_id", "event", "temperature")
+    return H.thermal_events_stream(_readings(t)).select("drive", "event_id", "event", "temperature")
 
 
 @query("R3_thermal_event_batch", _THERMAL)
@@ -84,14 +85,26 @@ def pause_counts(t):
     return temperature_statistics(t.readings, W.thermal_events(t.readings)).select("drive", "pauses", "resumes")
 
 
-@query("R4_history_stream", """
-SELECT drive, count(*) AS readings, min(temperature) AS min_temperature, max(temperature) AS max_temperature FROM (
-  SELECT *, row_number() OVER (PARTITION BY drive ORDER BY ts DESC, event_id DESC) AS rn FROM readings) WHERE rn <= 20 GROUP BY drive""")
-def history_stream(t):
-    out = drain_updates(H.history_stream(_readings(t), 20), "history")
+_HISTORY = """SELECT drive, count(*) AS readings, min(temperature) AS min_temperature, max(temperature) AS max_temperature FROM (
+  SELECT *, row_number() OVER (PARTITION BY drive ORDER BY ts DESC, event_id DESC) AS rn FROM {0}) WHERE rn <= {1} GROUP BY drive"""
+
+
+def _history(readings, n):
+    out = H.history_stream(readings, n)
     return W.latest_per_key(out, ["drive"], ["batch_id"]).select("drive", "readings", "min_temperature", "max_temperature")
 
 
+@query("R4_history_stream", _HISTORY.format("readings", 20))
+def history_stream(t):
+    return _history(_readings(t), 20)
+
+
+@query("R4_full_history_stream", _HISTORY.format("(SELECT * REPLACE (drive % 3 AS drive) FROM readings)", 1000))
+def full_history_stream(t):
+    """Three drives, which have more readings than are kept."""
+    return _history(_readings(t).withColumn("drive", c("drive") % 3), 1000)
+
+
 @query("R5_windowed_statistics_stream", """
 SELECT drive, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS readings, min(temperature) AS min_temperature, max(temperature) AS max_temperature FROM readings GROUP BY ALL""")
 def windowed_stream(t):
@@ -114,15 +127,18 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY task_id ORDER BY ts ROWS UNBOUNDED
 SELECT task_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS started, beats, max_progress FROM g"""
 
 
-@query("R6_progress_session_stream", _SESSIONS + " WHERE z + INTERVAL 2 HOUR <= (SELECT max(ts) FROM heartbeats) - INTERVAL 1 MINUTE")
+@query("R6_progress_session_stream", _SESSIONS)
 def session_stream(t):
-    out = drain_append(B.progress_sessions(_beats(t), "2 hours"), "sessions")
+    """Also the sessions that are still open at the end, as they stand then."""
+    path = scratch_path(t.spark, "sessions")
+    closed = drain_append(B.progress_sessions(_beats(t), "2 hours"), "sessions", path)
+    out = closed.unionByName(B.open_sessions(t.spark, f"{path}/checkpoint"))
     return out.select("task_id", F.date_format("started", _STAMP).alias("started"), "beats", "max_progress")
 
 
 @query("R6_progress_session_batch", _SESSIONS)
 def session_batch(t):
-    out = B.progress_sessions(t.heartbeats, "2 hours")
+    out = B.progress_sessions_batch(t.heartbeats, "2 hours")
     return out.select("task_id", F.date_format("started", _STAMP).alias("started"), "beats", "max_progress")
 
 
