@@ -27,6 +27,14 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name``, with as many underscores after it as it takes to be no column of the tables."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on equal names where null matches null; key columns come from the left."""
     tmp = {k: f"_r_{k}" for k in keys}
@@ -62,10 +70,11 @@ def attach(df: DataFrame, per_key: DataFrame, keys: Sequence[str], how: str = "i
     split. The second join key, a hash of the keys, asks for one: the small side is shuffled
     again and the heavy side can be split.
     """
-    left = df.withColumn("_j", F.xxhash64(*keys))
-    right = per_key.withColumn("_j", F.xxhash64(*keys))
-    out = null_safe_join(left, right, [*keys, "_j"], how) if null_safe else left.join(right, [*keys, "_j"], how)
-    return out.drop("_j")
+    j = free_name("_j", df, per_key)
+    left = df.withColumn(j, F.xxhash64(*keys))
+    right = per_key.withColumn(j, F.xxhash64(*keys))
+    out = null_safe_join(left, right, [*keys, j], how) if null_safe else left.join(right, [*keys, j], how)
+    return out.drop(j)
 
 
 def number_rows(
