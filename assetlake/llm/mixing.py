@@ -128,11 +128,13 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
         .agg(F.sum("words").alias("__words"), F.sort_array(F.collect_list(F.struct("start", "words"))).alias("__ranges"))
         .groupBy(same(F.col("source"), F.col("key"), F.col("hash")).alias("__id"), F.col("size").alias("__size"))
         .agg(F.collect_list(F.struct("__words", "__ranges")).alias("__takes")))
-    one = docs.withColumn("__id", same(F.col(source), F.col(key), F.xxhash64(text))).dropDuplicates(["__id"])
-    parts = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    # The columns of docs stand aside in a struct, so that no name of theirs meets one of these.
+    one = docs.select(
+        same(F.col(source), F.col(key), F.xxhash64(text)).alias("__id"), F.col(text).alias("__text"), F.struct(*docs.columns).alias("__row")).dropDuplicates(["__id"])
+    parts = F.regexp_extract_all("__text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("__take.__ranges", lambda r: F.slice(F.col("__parts"), (r["start"] + 1).cast("int"), r["words"].cast("int")))), "")
     taken = (
         one.join(copies, "__id").withColumn("__parts", F.when(F.exists("__takes", lambda t: t["__words"] < F.col("__size")), parts))
-        .withColumn("__take", F.explode("__takes")).withColumn(text, F.when(F.col("__take.__words") == F.col("__size"), F.col(text)).otherwise(cut)))
-    length = {"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {}
-    return taken.withColumns(length).select(*docs.columns)
+        .withColumn("__take", F.explode("__takes")).withColumn("__text", F.when(F.col("__take.__words") == F.col("__size"), F.col("__text")).otherwise(cut)))
+    changed = {text: F.col("__text"), "n_chars": F.length("__text").cast("long")}
+    return taken.select(*[changed.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])

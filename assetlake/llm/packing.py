@@ -33,36 +33,42 @@ class WordTokens(dict):
     the characters beside them. A sign after an ASCII letter begins a part of its own, so
     end signs are looked up apart. A word of lower-case Latin letters needs no normalising and is
     one part: it goes to the tokenizer's model at once. All others take the whole tokenizer. A text
-    that may hold a special token, which matches capitals exactly, is tokenized as it is. The
-    memory starts anew when it is full, which costs time and changes nothing.
+    that may hold a special token, which matches capitals exactly, is tokenized as it is. When the
+    memory has reached ``most_bytes`` it is put aside and words met again come back from there, so that at most
+    twice as much is held; this costs time and changes nothing.
     """
 
     _SIGNS = b".,!?;:*$#%&|"
     _LATIN = re.compile("[a-zß-öø-ÿ]+")
 
-    def __init__(self, path: str, most_words: int = 1_000_000):
+    def __init__(self, path: str, most_bytes: int = 20_000_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.letters = Tokenizer.from_file(path), most_words, _byte_letters()
+        self.tokenizer, self.most, self.letters = Tokenizer.from_file(path), most_bytes, _byte_letters()
+        self.used, self.aside = 0, {}
         self.model = self.tokenizer.model
 
-    def __missing__(self, word: bytes) -> bytes:
+    def _ids(self, word: bytes) -> bytes:
         stem = word.rstrip(self._SIGNS)
         if stem and len(stem) < len(word) and stem[-1:].isalpha():
-            ids = self[stem] + self[word[len(stem):]]
+            return self[stem] + self[word[len(stem):]]
+        text = word.decode()
+        small = text.lower()
+        if self._LATIN.fullmatch(small):
+            found = [t.id for t in self.model.tokenize(small.encode().decode("latin-1").translate(self.letters))]
         else:
-            text = word.decode()
-            small = text.lower()
-            if self._LATIN.fullmatch(small):
-                found = [t.id for t in self.model.tokenize(small.encode().decode("latin-1").translate(self.letters))]
-            else:
-                found = self.tokenizer.encode(text, add_special_tokens=False).ids
-            ids = np.array(found, dtype="<u4").tobytes()
-        if len(self) >= self.most:
+            found = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(found, dtype="<u4").tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.aside.get(word) or self._ids(word)
+        if self.used > self.most:
+            self.aside, self.used = dict(self), 0
             self.clear()
         self[word] = ids
+        self.used += 200 + len(word) + len(ids)
         return ids
 
     def of(self, text: bytes | None) -> bytes:

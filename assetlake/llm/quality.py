@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import functions as F
 
 from assetlake.session import pin
 
@@ -29,11 +29,11 @@ class Features:
     digits and signs), each as the square root of its share of the text, so that
     the length does not matter; the first four letters of words, as present or not, so that a
     rare word counts in a long text too; and facts about the whole text in steps. What a word gives
-    is remembered for words met before; the memory starts anew when it is full.
+    is remembered for words met before; a memory of more than ``most_bytes`` starts anew.
     """
 
-    def __init__(self, most_words: int = 400_000):
-        self.most, self.known = most_words, {}
+    def __init__(self, most_bytes: int = 25_000_000):
+        self.most, self.used, self.known = most_bytes, 0, {}
 
     def _word(self, raw: bytes) -> tuple[int, int, int]:
         shape = raw
@@ -46,12 +46,13 @@ class Features:
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         raw = (text or "").encode()
         count = Counter(raw.split())
-        if len(self.known) + len(count) > self.most:
-            self.known = {}
+        if self.used > self.most:
+            self.known, self.used = {}, 0
         known, total = self.known, sum(count.values())
         for word in count:
             if word not in known:
                 known[word] = self._word(word)
+                self.used += 300 + len(word)
         places = np.array([known[w] for w in count], dtype=np.int64).reshape(-1, 3)
         times = np.fromiter(count.values(), dtype=np.float64, count=len(count))
         place, back = np.unique(places[:, :2].T.reshape(-1), return_inverse=True)
@@ -249,19 +250,18 @@ def grade_texts(docs: DataFrame, model: Model | None, text: str = "text", expect
     kept = [c for c in docs.columns if c not in (expected, tails)]
     if model is None:
         return docs.select(*kept, F.lit(None).cast("double").alias(expected), F.lit(None).cast("array<double>").alias(tails))
-    schema = docs.select(*kept).schema
-    at = kept.index(text)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         features, model = Features(), sent.value
-        for b in batches:
-            score = np.array([model.weights[i] @ v for i, v in map(features, (t.as_py() for t in b.column(at)))]).reshape(-1)
-            above = model.tails(score)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(above.sum(axis=1)), pa.array(list(above), pa.list_(pa.float64()))], [
-                *b.schema.names, expected, tails])
-
-    return docs.select(*kept).mapInArrow(run, schema.add(expected, "double").add(tails, T.ArrayType(T.DoubleType())))
+        for some in texts:
+            score = np.array([model.weights[i] @ v for i, v in map(features, (t.as_py() for t in some))]).reshape(-1)
+            yield pa.array(list(model.tails(score)), pa.list_(pa.float64()))
+
+    # Only texts go to the Python tasks. As a function that Spark may not repeat it is evaluated once.
+    told = F.arrow_udf(run, "array<double>").asNondeterministic()
+    graded = docs.select(*kept, told(F.col(text)).alias(tails))
+    return graded.select(*kept, F.aggregate(tails, F.lit(0.0), lambda a, x: a + x).alias(expected), tails)
 
 
 def graded_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:

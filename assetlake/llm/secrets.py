@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetlake.operators.skew import attach
+from assetlake.operators.skew import attach, free_name
 from assetlake.session import pin, scratch_path
 
 
@@ -122,17 +122,18 @@ def findings(docs: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES,
     paths. Only blobs with findings enter it. Nulls, empty and repeated rows stay rows, found empty.
     A column named ``into`` is replaced; all others stay.
     """
+    hit, blob = free_name("__hits", docs), free_name("__blob", docs)
     order = {r.name: i for i, r in enumerate(rules)}
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     place = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
     hits = (
         ledger.filter(F.col("rule").isin(list(order)) & (F.size("spans") > 0)).groupBy("blob", "rule").agg(F.first("spans").alias("spans"))
         .groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list(F.transform(
-            "spans", lambda s: F.struct(s["start"].alias("start"), place[F.col("rule")].alias("rank"), s["end"].alias("end")))))).alias("__hits")))
-    named = F.transform(F.coalesce("__hits", F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")), lambda h: F.struct(
+            "spans", lambda s: F.struct(s["start"].alias("start"), place[F.col("rule")].alias("rank"), s["end"].alias("end")))))).alias(hit)))
+    named = F.transform(F.coalesce(hit, F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")), lambda h: F.struct(
         F.element_at(kinds, h["rank"] + 1).alias("kind"), h["start"].alias("start"), h["end"].alias("end")))
-    marked = docs.withColumn("__blob", content_address(text))
-    return attach(marked, hits.withColumnRenamed("blob", "__blob"), ["__blob"], "left").withColumn(into, named).drop("__hits", "__blob")
+    marked = docs.withColumn(blob, content_address(text))
+    return attach(marked, hits.withColumnRenamed("blob", blob), [blob], "left").withColumn(into, named).drop(hit, blob)
 
 
 def joined_spans(found: str) -> Column:
