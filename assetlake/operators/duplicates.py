@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations
-from math import comb
+from math import comb, log2
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -170,47 +170,76 @@ def unreviewed_groups(groups: DataFrame, members: DataFrame, assets: DataFrame,
 # --- near duplicates -----------------------------------------------------------
 
 @dataclass(frozen=True)
-class BandPlan:
-    """``bands`` slices of a hash; a pair within the threshold differs by at most ``radius``
-    bits in at least one slice."""
+class SlicePlan:
+    """Slices of a hash, as places of bits, each with a radius of its own.
+
+    By the general pigeonhole principle, if the radii plus one add up to more than the threshold, a pair within the
+    threshold differs by at most its radius in at least one slice.
+    """
+
+    slices: tuple[tuple[int, ...], ...]
+    radii: tuple[int, ...]
+
+    def reach(self) -> int:
+        return sum(r + 1 for r in self.radii) - 1
+
+
+# Bits of a slice that is probed by masks, which are 64-bit numbers.
+_PROBED = 60
 
-    bands: int
-    radius: int
 
+def even_plan(bits: int, slices: int, radius: int) -> SlicePlan:
+    """Slices of neighbouring bits, all of one radius."""
+    edges = [bits * i // slices for i in range(slices + 1)]
+    return SlicePlan(tuple(tuple(range(a, b)) for a, b in zip(edges, edges[1:])), (radius,) * slices)
 
-def plan_bands(bits: int, threshold: int, hashes: int, max_ball: int = 20_000) -> BandPlan:
-    """The slicing with the least expected work for this many distinct hashes.
 
-    With ``m`` slices, some slice of a matching pair differs by at most ``threshold // m``
-    bits. Fewer, wider slices give fewer false candidates but more probes per hash.
+def plan_slices(shares: Sequence[float], threshold: int, hashes: int, max_ball: int = 20_000) -> SlicePlan:
+    """The slicing with the least expected work for this many distinct hashes, from the share of ones of each bit.
+
+    Bits are dealt to the slices in order of their entropy, so that all slices tell hashes apart about equally well
+    and neighbouring bits, which often agree, come apart. The ``threshold + 1`` that the radii have to add up to is then spent
+    one by one where it costs least: in probes, and in pairs that meet by chance. Slices that get nothing are not used.
     """
-    best, best_cost = BandPlan(min(threshold + 1, bits), 0), None
-    for m in range(1, min(threshold + 1, bits) + 1):
-        r, width = threshold // m, min(bits // m, 60)
-        ball = sum(comb(width, k) for k in range(r + 1))
-        if ball > max_ball:
-            continue
-        cost = m * ball * hashes + m * ball * hashes * hashes / 2.0 ** (width + 1)
-        if best_cost is None or cost < best_cost:
-            best, best_cost = BandPlan(m, r), cost
-    return best
-
-
-def _slices(bits: int, m: int) -> list[tuple[int, int]]:
-    """Start and width of each slice. A slice wider than 60 bits is represented by its first
-    60, which can only add candidates."""
-    out, start = [], 0
-    for i in range(m):
-        width = bits // m + (1 if i < bits % m else 0)
-        out.append((start, min(width, 60)))
-        start += width
-    return out
+    entropy = [-(p * log2(p) + (1 - p) * log2(1 - p)) if 0 < p < 1 else 0.0 for p in shares]
+    order = sorted(range(len(shares)), key=lambda i: -entropy[i])
+    best, least = None, None
+    for m in range(1, min(threshold + 1, len(shares)) + 1):
+        slices = [tuple(order[i::m]) for i in range(m)]
+
+        def cost(i: int, r: int) -> float:
+            used = slices[i] if r == 0 else slices[i][:_PROBED]
+            ball = sum(comb(len(used), k) for k in range(r + 1))
+            told = min(sum(entropy[b] for b in used), 200.0)
+            return float("inf") if ball > max_ball or r > len(used) else hashes * ball * (1 + hashes / 2.0 ** (1 + told))
+
+        radii, spent, more = [-1] * m, [0.0] * m, [cost(i, 0) for i in range(m)]
+        for _ in range(threshold + 1):
+            i = min(range(m), key=lambda i: (more[i], i))
+            radii[i] += 1
+            spent[i] += more[i]
+            if spent[i] == float("inf"):
+                break
+            more[i] = cost(i, radii[i] + 1) - spent[i]
+        total = sum(spent)
+        if total < float("inf") and (least is None or total < least):
+            best, least = SlicePlan(tuple(x for x, r in zip(slices, radii) if r >= 0), tuple(r for r in radii if r >= 0)), total
+    # One bit a slice always does, where there are bits enough.
+    return best or even_plan(len(shares), min(threshold + 1, len(shares)), threshold // min(threshold + 1, len(shares)))
 
 
 def _masks(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in c) for k in range(radius + 1) for c in combinations(range(width), k)]
 
 
+def bit_shares(hashes: DataFrame, bits: int, n: int, rows: int = 20_000) -> list[float]:
+    """The share of ones of each bit, in about ``rows`` of ``n`` hashes chosen by a hash of themselves. It decides on the work only."""
+    some = hashes.filter(F.pmod(F.xxhash64("phash"), F.lit(max(1, n // rows))) == 0)
+    ones = some.select(F.posexplode(F.split(H.hex_to_bits(F.col("phash")), ""))).groupBy("pos").agg(F.avg(F.col("col").cast("int")).alias("p"))
+    found = {r.pos: r.p for r in ones.collect()}  # one row per bit
+    return [found.get(i, 0.5) for i in range(bits)]
+
+
 def hash_table(files: DataFrame, phash: str = "phash") -> DataFrame:
     """Distinct perceptual hashes with file and content counts."""
     return (
@@ -220,54 +249,62 @@ def hash_table(files: DataFrame, phash: str = "phash") -> DataFrame:
 
 
 def near_hash_pairs(
-    hashes: DataFrame, bits: int, threshold: int = C.NEAR_DUPLICATE_BITS, plan: BandPlan | None = None,
+    hashes: DataFrame, bits: int, threshold: int = C.NEAR_DUPLICATE_BITS, plan: SlicePlan | None = None,
 ) -> DataFrame:
     """``phash_1 < phash_2, distance`` for all pairs of distinct hashes within the threshold.
 
-    Exact: by the pigeonhole principle every such pair meets in a slice (see ``plan_bands``).
-    Hashes of another length than ``bits`` are left to a call of their own. A pair is reported
-    from its first meeting slice only, which both rows can tell, so no distinct step follows.
-    The adaptive skew join splits slice values that many hashes share. Work stays near linear
-    while the slices are wide against the number of hashes; with short hashes and a high
+    Exact: every such pair meets in a slice (see ``SlicePlan``). Hashes of another length than ``bits`` are left to a
+    call of their own. Equal values of a slice are one before they are probed and paired, so what many hashes
+    share is probed once; then values bring their hashes. A pair is reported from its first meeting slice only, which
+    both rows can tell, so no distinct step follows. The adaptive skew join splits slice values that many hashes share. Work stays near
+    linear while the slices are wide against the number of hashes; with short hashes and a high
     threshold most pairs are true candidates and no exact method avoids them.
     """
-    digits = bits // 4
-    h = hashes.filter(F.length("phash") == digits).select("phash")
+    h = hashes.filter(F.length("phash") == bits // 4).select("phash")
     if plan is None:
-        plan = plan_bands(bits, threshold, h.count())
-    m, r = plan.bands, plan.radius
-    if threshold // m > r:
-        raise ValueError(f"{m} slices need a radius of {threshold // m} for threshold {threshold}")
-    slices, words = _slices(bits, m), range(-(-bits // 64))
-    text = h.withColumn("_bits", H.hex_to_bits(F.col("phash")))
+        n = h.count()
+        plan = plan_slices(bit_shares(h, bits, n), threshold, n)
+    if plan.reach() < threshold:
+        raise ValueError(f"radii {plan.radii} do not reach threshold {threshold}")
+    words, radii = range(-(-bits // 64)), plan.radii
+    numbers = lambda some: F.split(F.lit(" ".join(map(str, some))), " ")
+    mixed = F.transform(numbers(b + 1 for s in plan.slices for b in s).cast("array<int>"), lambda at: F.substring(F.col("_bits"), at, F.lit(1)))
+    # Pinned, or Spark would work out the bits anew for each place of the function over places.
+    text = pin(h.withColumn("_bits", H.hex_to_bits(F.col("phash")))).withColumn("_mixed", F.array_join(mixed, ""))
+    keys, start = [], 1
+    for s, r in zip(plan.slices, radii):
+        part = F.substring("_mixed", start, len(s) if r == 0 else min(len(s), _PROBED))
+        keys.append(F.conv(part, 2, 10).cast("long") if r else F.xxhash64(part))
+        start += len(s)
     base = text.select(
-        "phash", *[F.conv(F.substring("phash", 16 * i + 1, 16), 16, -10).cast("long").alias(f"w{i}") for i in words],
-        *[F.conv(F.substring("_bits", at + 1, width), 2, 10).cast("long").alias(f"s{i}") for i, (at, width) in enumerate(slices)])
-    one, two = (base.withColumnsRenamed({c: f"{c}_{k}" for c in base.columns}) for k in (1, 2))
-    right = two.select("*", F.posexplode(F.array(*[f"s{i}_2" for i in range(m)])).alias("band", "value"))
-    if r:
-        # Probe values around each slice; plan_bands bounds their number.
-        masks = {w: F.split(F.lit(" ".join(map(str, _masks(w, r)))), " ").cast("array<bigint>") for w in {w for _, w in slices}}
-        probes = F.array(*[F.transform(masks[w], _xor_with(f"s{i}_1")) for i, (_, w) in enumerate(slices)])
-        left = one.select("*", F.posexplode(probes).alias("band", "_p")).withColumn("value", F.explode("_p")).drop("_p")
-    else:
-        left = one.select("*", F.posexplode(F.array(*[f"s{i}_1" for i in range(m)])).alias("band", "value"))
-    near = F.array(*[F.bit_count(F.col(f"s{i}_1").bitwiseXOR(F.col(f"s{i}_2"))) <= r for i in range(m)])
+        "phash", *[F.conv(F.substring("phash", 16 * i + 1, 16), 16, -10).cast("long").alias(f"w{i}") for i in words], F.array(*keys).alias("keys"))
+    side = lambda k: base.select(
+        *[F.col(c).alias(f"{c}_{k}") for c in base.columns], F.posexplode("keys").alias("band", f"value_{k}"))
+    one, two = side(1), side(2)
+    values = one.select("band", "value_1").distinct()
+    # Masks of the probed slices; plan_slices bounds their number.
+    masks = {i: numbers(_masks(min(len(s), _PROBED), r)).cast("array<bigint>") for i, (s, r) in enumerate(zip(plan.slices, radii)) if r}
+    probes = F.array(F.lit(0).cast("bigint"))
+    for i, mask in masks.items():
+        probes = F.when(F.col("band") == i, mask).otherwise(probes)
+    probed = values.withColumn("_m", F.explode(probes)).select("band", "value_1", F.col("value_1").bitwiseXOR(F.col("_m")).alias("value_2"))
+    if masks:
+        there = values.withColumnRenamed("value_1", "value_2")
+        probed = probed.filter("value_1 <= value_2").join(there, ["band", "value_2"], "left_semi")
+    apart = lambda i: F.bit_count(F.col("keys_1")[i].bitwiseXOR(F.col("keys_2")[i]))
+    near = F.array(*[apart(i) <= r if r else F.col("keys_1")[i] == F.col("keys_2")[i] for i, r in enumerate(radii)])
     distance = sum((F.bit_count(F.col(f"w{i}_1").bitwiseXOR(F.col(f"w{i}_2"))) for i in words), F.lit(0)).cast("int")
     return (
-        left.join(right, ["band", "value"]).filter(F.col("phash_1") < F.col("phash_2"))
+        one.join(probed, ["band", "value_1"]).join(two, ["band", "value_2"])
+        .filter((F.col("value_1") != F.col("value_2")) | (F.col("phash_1") < F.col("phash_2")))
         .withColumn("distance", distance).filter(F.col("distance") <= threshold)
         .filter(F.array_position(near, True) - 1 == F.col("band"))
-        .select("phash_1", "phash_2", "distance")
+        .select(F.least("phash_1", "phash_2").alias("phash_1"), F.greatest("phash_1", "phash_2").alias("phash_2"), "distance")
     )
 
 
-def _xor_with(column: str):
-    return lambda mask: mask.bitwiseXOR(F.col(column))
-
-
 def near_duplicates(
-    files: DataFrame, bits: int, threshold: int = C.NEAR_DUPLICATE_BITS, plan: BandPlan | None = None,
+    files: DataFrame, bits: int, threshold: int = C.NEAR_DUPLICATE_BITS, plan: SlicePlan | None = None,
 ) -> DataFrame:
     """Near-duplicate links between hashes, with the files and contents behind each side.
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from assetlake.functions import hashes as H
 from assetlake.operators import duplicates as U
 from assetlake.operators import filters as X
+from assetlake.session import pin
 from assetlake.workload.registry import query
 
 c = F.col
@@ -65,6 +67,58 @@ def near_pairs_ten(t):
     return U.near_hash_pairs(U.hash_table(files.unionByName(copies)), BITS)
 
 
+# Long hashes: each of the 64 values against the sixteen after it, round the end, and beside every picture a near copy with other last digits.
+_LONG_SQL = """
+WITH b AS (SELECT vec_id, array_to_string(list_transform(range(1024), lambda k: CASE WHEN embedding[k // 16 + 1] > embedding[(k // 16 + k % 16 + 1) % 64 + 1] THEN '1' ELSE '0' END), '') AS bits FROM embeddings),
+h AS (SELECT DISTINCT bits FROM (SELECT bits FROM b UNION ALL
+  SELECT substr(bits, 1, 1024 - 4 * (1 + vec_id % 3)) || translate(substr(bits, 1025 - 4 * (1 + vec_id % 3)), '01', '10') FROM b)),
+x AS (SELECT CAST(bits AS BIT) AS word, md5(bits) AS id FROM h)"""
+_LONG_PAIRS = """SELECT least(a.id, b.id) AS id_1, greatest(a.id, b.id) AS id_2, CAST(bit_count(xor(a.word, b.word)) AS INTEGER) AS distance
+FROM x a JOIN x b ON a.id < b.id AND bit_count(xor(a.word, b.word)) <= 10"""
+
+
+@query("D4_near_pairs_of_long_hashes", f"{_LONG_SQL} {_LONG_PAIRS}")
+def near_pairs_long(t):
+    """Pairs of 1024-bit hashes by the MD5 of their bits."""
+    values, bits = F.col("embedding"), F.split(F.lit(" ".join(map(str, range(1024)))), " ").cast("array<int>")
+    compared = F.transform(bits, lambda k: F.when(
+        F.get(values, F.floor(k / 16).cast("int")) > F.get(values, ((F.floor(k / 16) + k % 16 + 1) % 64).cast("int")), "1").otherwise("0"))
+    plain = pin(t.embeddings.select("vec_id", F.array_join(compared, "").alias("bits")))
+    kept = (1024 - 4 * (1 + c("vec_id") % 3)).cast("int")
+    copies = plain.select("vec_id", F.concat(F.substr("bits", F.lit(1), kept), F.translate(F.substr("bits", kept + 1), "01", "10")).alias("bits"))
+    both = plain.unionByName(copies).select(H.bits_to_hex(c("bits")).alias("phash"), F.lit("").alias("sha256"))
+    found = U.near_hash_pairs(U.hash_table(both), 1024)
+    one, two = (F.md5(H.hex_to_bits(c(f"phash_{k}"))) for k in (1, 2))
+    return found.select(F.least(one, two).alias("id_1"), F.greatest(one, two).alias("id_2"), "distance")
+
+
+# Every picture beside a near copy, whose last hash digit is inverted.
+_COPIES_SQL = """h AS (SELECT path, word FROM picture_hashes UNION ALL
+  SELECT path || '.copy', CAST(substr(bits, 1, 60) || translate(substr(bits, 61), '01', '10') AS BIT) FROM picture_hashes),
+p AS (SELECT least(a.path, b.path) AS path_1, greatest(a.path, b.path) AS path_2, CAST(bit_count(xor(a.word, b.word)) AS INTEGER) AS distance
+FROM h a JOIN h b ON a.path < b.path AND a.word <> b.word AND bit_count(xor(a.word, b.word)) <= 10)"""
+
+
+def _file_pairs(t, threshold):
+    files = t.picture_hashes.select("path", "phash")
+    flipped = F.concat(F.substr("phash", F.lit(1), F.lit(15)), F.translate(F.substr("phash", F.lit(16)), "0123456789abcdef", "fedcba9876543210"))
+    both = files.unionByName(files.select(F.concat("path", F.lit(".copy")).alias("path"), flipped.alias("phash")))
+    links = U.near_hash_pairs(U.hash_table(both.withColumn("sha256", c("path"))), BITS, threshold)
+    side = lambda k: both.select(c("phash").alias(f"phash_{k}"), c("path").alias(f"p{k}"))
+    return links.join(side(1), "phash_1").join(side(2), "phash_2").select(F.least("p1", "p2").alias("path_1"), F.greatest("p1", "p2").alias("path_2"), "distance")
+
+
+@query("J16_similarity_join_within_ten", f"WITH {_COPIES_SQL} SELECT * FROM p")
+def similarity_join_ten(t):
+    return _file_pairs(t, 10)
+
+
+@query("D5_similarity_of_copies", f"WITH {_COPIES_SQL} SELECT path_1, path_2, round(1.0 - distance / 64, 4) AS similarity FROM p WHERE 1.0 - distance / 64 >= 0.85")
+def similarity_of_copies(t):
+    found = _file_pairs(t, U.threshold_for_similarity(BITS))
+    return found.select("path_1", "path_2", F.round(H.similarity(c("distance"), BITS), 4).alias("similarity"))
+
+
 @query("D5_similarity", f"""
 WITH {PAIRS_SQL} SELECT phash_1, phash_2, round(1.0 - distance / 64, 4) AS similarity FROM pairs WHERE 1.0 - distance / 64 >= 0.7""")
 def similarity(t):
