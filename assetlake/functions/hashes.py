@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from urllib.parse import quote
 
 from pyarrow import fs as pafs
 from pyspark.sql import Column
@@ -21,16 +22,20 @@ def quick_hash(content: Column, first: int = SCREEN_BYTES) -> Column:
 
 
 def file_hashes(path: str, first: int | None = None, chunk: int = 4 << 20) -> tuple[str | None, str | None, str | None]:
-    """MD5 and SHA-256 of a file, or of its first bytes, in chunks; or the error in their place."""
+    """MD5 and SHA-256 of a file, or of its first bytes, in chunks; or the error in their place, whatever it is.
+
+    A path with a scheme is a name, not an encoded address: a blank or a percent sign in it stands for itself.
+    """
     md5, sha256, left = hashlib.md5(), hashlib.sha256(), first
     try:
-        system, name = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+        scheme, sign, rest = path.partition("://")
+        system, name = pafs.FileSystem.from_uri(f"{scheme}://{quote(rest, safe='/:@[]')}") if sign else (pafs.LocalFileSystem(), path)
         with system.open_input_stream(name, compression=None) as source:
             while data := source.read(chunk if left is None else min(chunk, left)):
                 md5.update(data)
                 sha256.update(data)
                 left = None if left is None else left - len(data)
-    except OSError as e:
+    except Exception as e:  # noqa: BLE001  what one file does wrong must not end the job
         return None, None, f"{type(e).__name__}: {e}"[:500]
     return md5.hexdigest(), sha256.hexdigest(), None
 

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-
-from assetlake.operators.skew import number_rows
+from pyspark.sql.types import DataType
 
 
 def top(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
@@ -24,19 +23,54 @@ def sort_by(df: DataFrame, column: str, descending: bool = False, tie: str = "pa
     return df.orderBy(c, tie) if column != tie else df.orderBy(c)
 
 
+def _at_or_after(bound: Row, sort: str, descending: bool, tie: str, kinds: dict[str, DataType]) -> Column:
+    """Whether a row stands at ``bound`` or after it. Ascending order has nulls first, descending last."""
+
+    def after(name: str, down: bool) -> Column:
+        c, v = F.col(name), bound[name]
+        if v is None:
+            return F.lit(False) if down else c.isNotNull()
+        v = F.lit(v).cast(kinds[name])
+        return F.coalesce(c < v, F.lit(True)) if down else F.coalesce(c > v, F.lit(False))
+
+    same = lambda name: F.col(name).eqNullSafe(F.lit(bound[name]).cast(kinds[name]))
+    return after(sort, descending) | (same(sort) & (after(tie, False) | same(tie)))
+
+
 def page(df: DataFrame, number: int, size: int, sort: str = "filename", descending: bool = False,
-         tie: str = "path") -> tuple[DataFrame, DataFrame]:
+         tie: str = "path", top_rows: int = 10_000, cuts: int = 63) -> tuple[DataFrame, DataFrame]:
     """One page and a one-row table ``total, total_pages`` of the same rows.
 
-    The page is a range of row numbers, so a deep page is no longer list for any task than the first.
+    A page that ends within ``top_rows`` is the tail of a top-k. For a deeper one the place of its first row is narrowed
+    down: rows are counted between ``cuts`` of them, chosen by a hash, and only the ranges that the page
+    touches are looked at again, until they hold ``top_rows`` or the page itself. So nothing is sorted but those few rows, nothing is
+    written, and each further scan has a filter on the order columns. ``tie`` must be unique.
     """
     if number < 1 or size < 1:
         raise ValueError("page number and size start at 1")
     if sort not in df.columns:
         raise ValueError(f"unknown sort column {sort!r}")
     first = (number - 1) * size
+    keys = list(dict.fromkeys([sort, tie]))
     order = [F.desc(sort) if descending else F.asc(sort), *([tie] if tie != sort else [])]
-    rows = number_rows(df, order, name="_n").filter(F.col("_n").between(first + 1, first + size)).orderBy("_n").drop("_n")
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    part, skip, left = df, first, None
+    while skip + size > top_rows and left != 0:
+        bounds = part.select(*keys).orderBy(F.xxhash64(*keys), *order).limit(cuts).collect()
+        found = part.select(sum((_at_or_after(b, sort, descending, tie, kinds).cast("int") for b in bounds), F.lit(0)).alias("range"))
+        counts = sorted(found.groupBy("range").count().collect())
+        ends, at = [], 0
+        for _, n in counts:
+            ends.append((at, at + n))
+            at += n
+        touched = [(r, a) for (r, _), (a, z) in zip(counts, ends) if a < skip + size and z > skip]
+        if not touched or len(touched) == len(counts):
+            break
+        ranges = [r for r, _ in touched]
+        index = sum((_at_or_after(b, sort, descending, tie, kinds).cast("int") for b in bounds), F.lit(0))
+        part, skip = part.filter(index.between(ranges[0], ranges[-1])), skip - touched[0][1]
+        left = sum(n for r, n in counts if r in ranges) - size
+    rows = part.orderBy(*order).offset(skip).limit(size)
     total = df.agg(F.count("*").alias("total")).withColumn("total_pages", F.ceil(F.col("total") / size))
     return rows, total
 

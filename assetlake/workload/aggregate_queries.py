@@ -303,6 +303,12 @@ def page(t):
     return L.page(t.inventory.filter("size_bytes >= 500").select("path", "filename", "size_bytes"), 3, 25)[0]
 
 
+@query("L5_deep_page", "SELECT path, filename, size_bytes FROM inventory ORDER BY size_bytes DESC, path LIMIT 25 OFFSET 150")
+def deep_page(t):
+    """A page found by counts between cuts, as one beyond the first ten thousand rows of a larger table is."""
+    return L.page(t.inventory.select("path", "filename", "size_bytes"), 7, 25, "size_bytes", True, top_rows=60)[0]
+
+
 @query("L5_page_total", "SELECT count(*) AS total, CAST(ceil(count(*) / 25) AS BIGINT) AS total_pages FROM inventory WHERE size_bytes >= 500")
 def page_total(t):
     return L.page(t.inventory.filter("size_bytes >= 500"), 3, 25)[1]

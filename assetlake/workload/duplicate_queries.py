@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from assetlake.functions import hashes as H
 from assetlake.operators import duplicates as U
 from assetlake.operators import filters as X
-from assetlake.session import pin
+from assetlake.session import pin, scratch_path
+from assetlake.sources import readers as R
 from assetlake.workload.registry import query
 
 c = F.col
@@ -35,6 +36,17 @@ def two_stage(t):
     return U.two_stage_groups(files).select("sha256", "copies", "size_bytes", "recoverable_bytes")
 
 
+@query("D2_two_stage_files", """
+SELECT sha256(text || chr(10)) AS sha256, count(*) AS copies, CAST(max(strlen(text) + 1) AS BIGINT) AS size_bytes, CAST(max(strlen(text) + 1) * (count(*) - 1) AS BIGINT) AS recoverable_bytes
+FROM documents GROUP BY 1 HAVING count(*) > 1""")
+def two_stage_files(t):
+    """Every document in a file of its own; only files that share their size are opened."""
+    out = scratch_path(t.spark, "texts")
+    t.documents.select("text", "doc_id").repartition("doc_id").write.partitionBy("doc_id").text(out)
+    files = R.scan_files(t.spark, out, suffixes=[".txt"]).select("path", "size_bytes")
+    return U.two_stage_files(files).select("sha256", "copies", "size_bytes", "recoverable_bytes")
+
+
 @query("D3_collision_guard", """
 SELECT sha256, count(DISTINCT (size_bytes, date_taken)) AS combinations, count(*) AS files FROM inventory GROUP BY sha256 HAVING count(DISTINCT (size_bytes, date_taken)) > 1""")
 def collision(t):

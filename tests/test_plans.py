@@ -139,3 +139,23 @@ def test_audit_sample_is_exact(spark):
     ranked = sorted((hashlib.md5(f"s/p/{i}".encode()).hexdigest(), f"/p/{i}") for i in range(5000))
     assert got == {p for _, p in ranked[:250]}
     assert A.audit_sample(df.limit(40), 0.05, 100).count() == 40
+
+
+def test_deep_pages_without_a_sort_of_the_table(spark):
+    import random
+
+    from assetlake.operators import sorting as L
+
+    r = random.Random(4)
+    rows = [(f"/p{i:05d}", r.choice([None, 1, 1, 1, 2, 3, 50, 700])) for i in range(5000)]
+    df = spark.createDataFrame(rows, "path string, size_bytes int").repartition(6)
+    for down in (False, True):
+        key = lambda x: ((x[1] is not None, x[1] or 0) if not down else (x[1] is None, -(x[1] or 0)), x[0])
+        want = sorted(rows, key=key)
+        for number in (1, 3, 100, 167, 168, 400):
+            got, total = L.page(df, number, 30, "size_bytes", down, top_rows=90, cuts=7)
+            assert [tuple(x) for x in got.collect()] == want[30 * (number - 1):30 * number]
+        assert tuple(total.first()) == (5000, 167)
+    assert [x.path for x in L.page(df, 50, 30, "path", top_rows=90)[0].collect()] == [x[0] for x in sorted(rows)[1470:1500]]
+    plan = L.page(df, 100, 30, "size_bytes", top_rows=90)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan

@@ -42,6 +42,16 @@ def test_hashing_in_chunks_and_errors(spark, tree):
     assert rows["gone"].sha256 is None and rows["gone"].error and rows["one.txt"].sha256 and not rows["one.txt"].error
 
 
+def test_any_name_that_cannot_be_read_is_a_row(spark, tree):
+    (tree / "a b%20#?.txt").write_bytes(b"odd")
+    names = [f"file://{tree}/a b%20#?.txt", "s3://b/a b%.jpg", "nowhere://x/y z", "://", "", "bad\0name", None]
+    df = spark.createDataFrame([(n, 1) for n in names], "path string, size_bytes long")
+    rows = {r.path: r for r in S.add_hashes(df).collect()}
+    assert set(rows) == set(names)
+    assert rows[names[0]].sha256 == hashlib.sha256(b"odd").hexdigest() and rows[names[0]].error is None
+    assert all(rows[n].error and rows[n].sha256 is None for n in names[1:])
+
+
 def test_unchanged_files_are_not_opened(spark, tree):
     first = S.hash_files(spark, str(tree))
     known = spark.createDataFrame([(r.path, r.size_bytes, r.modified, "m", "known") for r in first.collect() if r.path.endswith("JPG")],
