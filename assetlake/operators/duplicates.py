@@ -397,3 +397,17 @@ def review_plan(files: DataFrame, links: DataFrame | None = None) -> DataFrame:
         F.concat(F.lit("Near-duplicate (distance: "), F.col("distance").cast("string"), F.lit(")")).alias("reason"),
         "size_bytes", flag.alias("in_catalog"), "duplicate_group")
     return exact.unionByName(near)
+
+
+def review_groups(files: DataFrame, links: DataFrame) -> DataFrame:
+    """REVIEW rows for near duplicates: each file once, whatever the number of its links.
+
+    ``duplicate_group`` is the least hash of all that links connect, and the reason has the distance to the closest other
+    hash (0 where other contents have the same hash).
+    """
+    own = links.select(F.explode(F.array_distinct(F.array("phash_1", "phash_2"))).alias("phash"), "distance").groupBy("phash").agg(F.min("distance").alias("closest"))
+    named = own.join(similar_groups(links), "phash", "left").select("phash", "closest", F.coalesce("component", "phash").alias("component"))
+    flag = F.col("in_catalog") if "in_catalog" in files.columns else F.lit(False)
+    return attach(files.withColumn("phash", F.lower("phash")), named, ["phash"]).select(
+        F.lit("REVIEW").alias("action"), "path", F.concat(F.lit("Near-duplicate (closest distance: "), F.col("closest").cast("string"), F.lit(")")).alias("reason"),
+        "size_bytes", flag.alias("in_catalog"), F.concat(F.lit("near_group_"), "component").alias("duplicate_group"))

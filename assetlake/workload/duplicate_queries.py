@@ -163,6 +163,17 @@ def review_plan_near(t):
     return U.review_plan(t.picture_hashes, U.near_duplicates(t.picture_hashes, BITS, NEAR))
 
 
+@query("D7_review_near_groups", f"""
+WITH RECURSIVE {PAIRS_SQL}, edges AS (SELECT phash_1 AS u, phash_2 AS v, distance FROM pairs UNION SELECT phash_2, phash_1, distance FROM pairs),
+reach(u, v) AS (SELECT u, u FROM edges UNION SELECT r.u, e.v FROM reach r JOIN edges e ON r.v = e.u),
+c AS (SELECT u, min(v) AS component FROM reach GROUP BY u), d AS (SELECT u, min(distance) AS closest FROM edges GROUP BY u)
+SELECT 'REVIEW' AS action, p.path, 'Near-duplicate (closest distance: ' || closest || ')' AS reason, p.size_bytes, false AS in_catalog, 'near_group_' || component AS duplicate_group
+FROM picture_hashes p JOIN c ON c.u = p.phash JOIN d ON d.u = p.phash""")
+def review_near_groups(t):
+    """One row per file."""
+    return U.review_groups(t.picture_hashes, U.near_duplicates(t.picture_hashes, BITS, NEAR))
+
+
 @query("D8_keep_recommendations", """
 SELECT CASE WHEN rn = 1 THEN 'KEEP' ELSE 'DELETE' END AS action, path, filename, sha256 AS hash, size_bytes,
   CASE WHEN rn = 1 THEN 'First in duplicate group (preferred path)' ELSE 'Duplicate of ' || keep_name END AS reason, modified FROM (

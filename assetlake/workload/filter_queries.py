@@ -9,6 +9,8 @@ from assetlake.functions import names as N
 from assetlake.functions import paths as P
 from assetlake.operators import filters as X
 from assetlake.operators import quality as V
+from assetlake.session import scratch_path
+from assetlake.sources import tables as K
 from assetlake.workload.registry import query
 
 c = F.col
@@ -65,6 +67,17 @@ def date_between(t):
     return X.between(t.assets, "ingested_date", F.lit("2023-02-01").cast("timestamp"), F.lit("2023-06-30").cast("timestamp")).select("id", "file_path")
 
 
+def _by_month(t):
+    path = scratch_path(t.spark, "assets")
+    K.write_by_month(t.assets.select("id", "file_path", "ingested_date"), path)
+    return path
+
+
+@query("F9_date_between_by_month", "SELECT id, file_path FROM assets WHERE ingested_date BETWEEN TIMESTAMP '2023-02-11' AND TIMESTAMP '2023-06-30'")
+def date_between_by_month(t):
+    return K.read_by_month(t.spark, _by_month(t), "2023-02-11", "2023-06-30").select("id", "file_path")
+
+
 @query("F10_excluded_patterns", "SELECT id, file_path FROM assets WHERE file_path NOT LIKE '%/fr/%' AND file_path NOT LIKE '%/de/%'")
 def excluded_patterns(t):
     return X.not_like(t.assets, "file_path", ["%/fr/%", "%/de/%"]).select("id", "file_path")
@@ -75,6 +88,11 @@ def path_prefix(t):
     return X.under(t.assets, "file_path", "/src1/").select("id", "file_path")
 
 
+@query("F11_path_prefix_by_month", "SELECT id, file_path FROM assets WHERE starts_with(file_path, '/src1/') AND ingested_date >= TIMESTAMP '2023-05-01'")
+def path_prefix_by_month(t):
+    return X.under(K.read_by_month(t.spark, _by_month(t), "2023-05-01"), "file_path", "/src1/").select("id", "file_path")
+
+
 @query("F12_point_lookup", "SELECT id, file_path FROM assets WHERE sha256_hash = (SELECT min(sha256_hash) FROM assets) OR camera_model = 'EOS R5'")
 def point_lookup(t):
     least = t.assets.select(F.min("sha256_hash")).scalar()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assetlake.operators import tasks as T
+from assetlake.session import scratch_path
+from assetlake.sources import tables as K
 from assetlake.sources.writers import insert_missing, upsert
 from assetlake.workload.registry import query
 
@@ -72,3 +74,21 @@ SELECT doc_id AS asset_id, CAST(quality AS BIGINT) AS value FROM labels UNION AL
 def insert_defaults(t):
     base = t.labels.select(c("doc_id").alias("asset_id"), c("quality").cast("long").alias("value"))
     return insert_missing(base, t.inventory.select("asset_id", c("size_bytes").alias("value")), ["asset_id"])
+
+
+@query("Z13_update_in_place", """
+SELECT i.asset_id, coalesce(CAST(l.quality + 1000000 AS BIGINT), i.size_bytes) AS value FROM inventory i LEFT JOIN labels l ON l.doc_id = i.asset_id""")
+def update_in_place(t):
+    path = scratch_path(t.spark, "keyed")
+    K.write_keyed(t.inventory.select("asset_id", c("size_bytes").alias("value")), path, ["asset_id"], 8)
+    K.upsert_keyed(t.spark, path, t.labels.select(c("doc_id").alias("asset_id"), (c("quality") + 1000000).cast("long").alias("value")), ["asset_id"], 8)
+    return K.read_keyed(t.spark, path)
+
+
+@query("Z14_defaults_in_place", """
+SELECT doc_id AS asset_id, CAST(quality AS BIGINT) AS value FROM labels UNION ALL SELECT asset_id, size_bytes FROM inventory WHERE asset_id NOT IN (SELECT doc_id FROM labels)""")
+def defaults_in_place(t):
+    path = scratch_path(t.spark, "keyed")
+    K.write_keyed(t.labels.select(c("doc_id").alias("asset_id"), c("quality").cast("long").alias("value")), path, ["asset_id"], 8)
+    K.upsert_keyed(t.spark, path, t.inventory.select("asset_id", c("size_bytes").alias("value")), ["asset_id"], 8, replace=False)
+    return K.read_keyed(t.spark, path)

@@ -134,3 +134,35 @@ def test_filters(spark):
     assert X.filter_assets(df, X.AssetFilter()).count() == 2
     with pytest.raises(ValueError):
         L.sort_by(df, "size; drop")
+
+
+def test_months_and_buckets_that_are_not_asked_for_stay_closed(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from assetlake.sources import tables as K
+
+    path = str(tmp_path / "months")
+    df = spark.range(3000).select(
+        "id", F.concat(F.lit("/p/"), F.col("id").cast("string")).alias("file_path"), F.when(F.col("id") % 50 > 0, F.timestamp_seconds(1_672_531_200 + F.col("id") * 10_000)).alias("ingested_date"))
+    K.write_by_month(df, path)
+    got = K.read_by_month(spark, path, "2023-03-05 10:00:00", "2023-04-02")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month_key" in plan and "202303" in plan
+    want = df.filter("ingested_date between timestamp'2023-03-05 10:00:00' and timestamp'2023-04-02'")
+    assert sorted(r.id for r in got.collect()) == sorted(r.id for r in want.collect()) and 0 < want.count() < 400
+    assert K.read_by_month(spark, path).count() == 3000 and len(got.inputFiles()) > 2
+
+    path = tmp_path / "keyed"
+    K.write_keyed(spark.range(1000).withColumn("v", F.lit(0)), str(path), ["id"], 16)
+    names = lambda: {str(f.relative_to(path)) for f in path.rglob("*.parquet")}
+    before = names()
+    new = spark.createDataFrame([(5, 7), (2000, 8)], "id long, v int")
+    K.upsert_keyed(spark, str(path), new, ["id"], 16)
+    K.upsert_keyed(spark, str(path), new.filter("false"), ["id"], 16)
+    touched = {r[0] for r in new.select(K.bucket_of(["id"], 16)).collect()}
+    assert before - names() == {f for f in before if int(f.split("=")[1].split("/")[0]) in touched}
+    rows = {r.id: r.v for r in K.read_keyed(spark, str(path)).collect()}
+    assert rows == {**dict.fromkeys(range(1000), 0), 5: 7, 2000: 8}
+    K.upsert_keyed(spark, str(path), spark.createDataFrame([(5, 1), (3000, 9)], "id long, v int"), ["id"], 16, replace=False)
+    rows = {r.id: r.v for r in K.read_keyed(spark, str(path)).collect()}
+    assert rows == {**dict.fromkeys(range(1000), 0), 5: 7, 2000: 8, 3000: 9}
