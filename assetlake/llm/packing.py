@@ -41,7 +41,7 @@ class WordTokens(dict):
     _SIGNS = b".,!?;:*$#%&|"
     _LATIN = re.compile("[a-zß-öø-ÿ]+")
 
-    def __init__(self, path: str, most_bytes: int = 20_000_000):
+    def __init__(self, path: str, most_bytes: int = 60_000_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
