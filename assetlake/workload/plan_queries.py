@@ -26,6 +26,31 @@ def rename_plan(t):
     return R.audit_plan(t.inventory)
 
 
+# Every photo beside a copy under another name, and numbers that restart with each file: the two want one name.
+_CLASH_SQL = """WITH both_ AS (SELECT * FROM inventory UNION ALL SELECT * REPLACE (regexp_replace(path, '(\\.[^.]+)$', '_copy\\1') AS path) FROM inventory),
+plan AS (SELECT path AS old_path, folder || '/' || strftime(coalesce(taken_ts, modified_ts), '%Y-%m-%d_%H-%M-%S') || '_' || camera_short || '_0001' || extension AS new_path, 'rename_' || substr(extension, 2) AS reason
+  FROM both_ WHERE file_type = 'IMAGE'),
+marked AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY lower(new_path) ORDER BY old_path) > 1 THEN 'CONFLICT' ELSE 'ok' END AS conflict_check FROM plan)"""
+
+
+def _clashing(t):
+    return t.inventory.unionByName(t.inventory.withColumn("path", F.regexp_replace("path", r"(\.[^.]+)$", "_copy$1")))
+
+
+@query("O1_rename_plan_with_conflicts", f"{_CLASH_SQL} SELECT * FROM marked")
+def rename_plan_with_conflicts(t):
+    return R.audit_plan(_clashing(t), ("path",))
+
+
+@query("A24_rename_conflict_statistics", f"""
+{_CLASH_SQL}, k AS (SELECT count(*) AS conflicts, count(DISTINCT lower(new_path)) AS conflict_targets FROM marked WHERE conflict_check = 'CONFLICT')
+SELECT count(*) AS total, count(*) FILTER (file_type = 'IMAGE') AS renamed, count(*) FILTER (file_type <> 'IMAGE') AS skipped_not_photo, CAST(0 AS BIGINT) AS skipped_no_date,
+  any_value(conflicts) AS conflicts, any_value(conflict_targets) AS conflict_targets FROM both_, k""")
+def rename_conflict_statistics(t):
+    files = _clashing(t)
+    return R.audit_plan_statistics(files, R.audit_plan(files, ("path",)))
+
+
 @query("A24_rename_statistics", """
 SELECT count(*) AS total, count(*) FILTER (file_type = 'IMAGE') AS renamed, count(*) FILTER (file_type <> 'IMAGE') AS skipped_not_photo, CAST(0 AS BIGINT) AS skipped_no_date,
   CAST(0 AS BIGINT) AS conflicts, CAST(0 AS BIGINT) AS conflict_targets FROM inventory""")
