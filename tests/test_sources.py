@@ -166,3 +166,22 @@ def test_months_and_buckets_that_are_not_asked_for_stay_closed(spark, tmp_path):
     K.upsert_keyed(spark, str(path), spark.createDataFrame([(5, 1), (3000, 9)], "id long, v int"), ["id"], 16, replace=False)
     rows = {r.id: r.v for r in K.read_keyed(spark, str(path)).collect()}
     assert rows == {**dict.fromkeys(range(1000), 0), 5: 7, 2000: 8, 3000: 9}
+
+
+def test_databases_are_read_in_parts(spark, tmp_path):
+    spark._jvm.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
+    url = "jdbc:derby:memory:assets;create=true"
+    rows = [(i, f"n{i}") for i in range(1000)] + [(None, "none")]
+    spark.createDataFrame(rows, "id long, name string").write.format("jdbc").options(url=url, dbtable="images").save()
+    df = S.read_database(spark, url, "images", "id", 5)
+    assert df.rdd.getNumPartitions() == 5
+    sizes = [len(p) for p in df.rdd.glom().collect()]
+    assert sum(sizes) == 1001 and max(sizes) < 300
+    some = df.filter("id between 10 and 19").select("id")
+    plan = some._jdf.queryExecution().executedPlan().toString().lower()
+    assert "*greaterthanorequal(id,10)" in plan and "*lessthanorequal(id,19)" in plan and "name" not in plan
+    assert sorted(r[0] for r in some.collect()) == list(range(10, 20))
+    both = S.read_catalogs(spark, {"one": url, "two": url}, "images", "id", 3)
+    assert both.rdd.getNumPartitions() == 6 and both.groupBy("catalog_path").count().count() == 2
+    assert S.read_database(spark, url, '(select * from images where "id" = 7) x', "id").rdd.getNumPartitions() == 1
+    assert S.read_database(spark, url, "images").rdd.getNumPartitions() == 1
