@@ -89,7 +89,7 @@ def _keys(pages: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def write_archives(
-    pages: DataFrame, path: str, key: str = "page_id", uri: str = "url", text: str = "html", file_bytes: int = 1 << 30,
+    pages: DataFrame, path: str, key: str = "page_id", uri: str = "url", text: str = "html", file_bytes: int | None = None,
     shard_bytes: int = 16 << 20, most_shards: int = 100_000, date: str = "2024-01-01T00:00:00Z", level: int = 5,
 ) -> DataFrame:
     """Write a record per page below ``path`` and return the manifest, one row per file.
@@ -97,8 +97,10 @@ def write_archives(
     Shards are cut at equal bytes of the pages in order of key and digest, whatever the input's
     partitions, and sorted; so the same pages give the same files, byte for byte. The least
     shard is ``shard_bytes``; a large input gets ``most_shards`` larger ones, the bound of what
-    the driver and each task hold of their limits. Files roll at ``file_bytes`` compressed. A
-    file appears under its name when it is whole, and the manifest under its own when all are.
+    the driver and each task hold of their limits. Files roll at ``file_bytes`` compressed, by default
+    an eighth of the bytes of a shard, so that a shard is several files unless its pages shrink to less. A
+    file appears under its name when it is whole, and the manifest under its own when all are;
+    then the temporary folder goes, with what failed attempts left there.
 
     Of pages with equal payloads of 100 bytes or more the smallest key is the response and the
     others are revisits, found from keys and digests alone. A null payload is empty. A page
@@ -115,6 +117,7 @@ def write_archives(
     placed = prefix_sums(small, _ORDER, "_size")
     total = small.agg(F.sum("_size")).first()[0] or 0
     least = max(shard_bytes, -(-total // most_shards))
+    roll_at = file_bytes or max(least // 8, 1)
     # One row per shard, of which there are at most most_shards.
     cuts = placed.groupBy(F.floor(F.col("before") / least)).agg(F.min(F.struct(*_ORDER)).alias("k")).select("k.*").collect()
     limits = sorted(tuple(r) for r in cuts)
@@ -136,7 +139,7 @@ def write_archives(
             for none, ident, digest, kind, first, at, body, shard in zip(*(c.to_pylist() for c in batch.columns)):
                 if roll is None or roll.shard != shard:
                     done += [roll.close()] if roll and roll.out else []
-                    roll = _Roll(path, shard, file_bytes, level)
+                    roll = _Roll(path, shard, roll_at, level)
                 if (none, ident, digest) != last:
                     last, copy, refers = (none, ident, digest), 0, None
                 if kind == 0:  # comes before the pages it is about
@@ -156,6 +159,7 @@ def write_archives(
     attempt = f"_manifest-{uuid.uuid4().hex}"
     dealt.mapInArrow(write, _MANIFEST).write.parquet(f"{path}/{attempt}")
     _rename(fs, f"{root}/{attempt}", f"{root}/_manifest")
+    fs.delete_dir(f"{root}/_temporary")
     return spark.read.schema(_MANIFEST).parquet(f"{path}/_manifest")
 
 
@@ -197,6 +201,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """
     manifest = spark.read.schema(_MANIFEST).parquet(f"{path}/_manifest")
     files = manifest.select("file", "records", "bytes")
+    tasks = max(manifest.select("shard").distinct().count(), 1)  # as many as wrote
     names = ["record_type", "page_id", "uri", "payload_digest", "payload_bytes", "refers_to", "payload"]
     schema = pa.schema(list(zip(names, [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()])))
 
@@ -215,7 +220,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    found = files.repartitionByRange(max(files.count(), 1), "file").mapInArrow(read, _READ)
+    found = files.repartitionByRange(tasks, "file").mapInArrow(read, _READ)
     response = found.filter("record_type = 'response'")
     sizes = response.filter("page_id is not null").groupBy("page_id", "payload_digest").agg(F.max("payload_bytes").alias("_bytes"))
     # Spark takes records for as small as the manifest they come from, and would broadcast them.

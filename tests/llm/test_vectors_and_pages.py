@@ -5,6 +5,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assetlake.llm import ann, itq, warc
 
@@ -130,7 +131,7 @@ def test_round_trip(spark, pages, tmp_path):
         files[name] = sorted((m.file, m.sha256, m.records) for m in manifest)
         for m in manifest:
             assert hashlib.sha256(open(f"{root}/{m.file}", "rb").read()).hexdigest() == m.sha256
-        assert not os.listdir(f"{root}/_temporary")
+        assert not os.path.exists(f"{root}/_temporary")
     assert files["a"] == files["b"] and len(files["a"]) > 5
     back = warc.read_archives(spark, str(tmp_path / "a")).collect()
     assert len(back) == pages.count()
@@ -153,3 +154,20 @@ def test_round_trip(spark, pages, tmp_path):
     assert sum(r.record_type == "revisit" for r in back) == 49 + 2
     root = str(tmp_path / "none")
     assert warc.write_archives(pages.filter("false"), root).count() == 0 and warc.read_archives(spark, root).count() == 0
+
+
+def test_shards_roll_by_default(spark, tmp_path):
+    noise = F.concat_ws("", F.transform(
+        F.sequence(F.lit(1), F.lit(6000)), lambda i: F.sha2(F.concat_ws("-", F.col("id").cast("string"), i.cast("string")), 256)))
+    pages = spark.range(0, 100, 1, 8).select(F.col("id").alias("page_id"), F.lit("http://a").alias("url"), noise.alias("html"))
+    root = str(tmp_path / "default")
+    manifest = warc.write_archives(pages, root).collect()
+    parts = {s: sum(m.shard == s for m in manifest) for s in {m.shard for m in manifest}}
+    assert len(parts) == 3 and min(parts.values()) >= 2 and sum(m.records for m in manifest) == 100
+    assert all(m.bytes < (2 << 20) + 400_000 for m in manifest)
+    # A repeated run replaces what an attempt that was lost has left.
+    os.makedirs(f"{root}/_temporary")
+    open(f"{root}/_temporary/lost", "w").close()
+    assert sorted(warc.write_archives(pages, root).collect()) == sorted(manifest) and not os.path.exists(f"{root}/_temporary")
+    back = warc.read_archives(spark, root, payloads=False).collect()
+    assert sorted(r.page_id for r in back) == list(range(100)) and {r.payload_bytes for r in back} == {6000 * 64}
