@@ -10,6 +10,7 @@ from assetlake.functions import paths as P
 from assetlake.operators import filters as X
 from assetlake.operators import quality as V
 from assetlake.session import scratch_path
+from assetlake.sources import search as I
 from assetlake.sources import tables as K
 from assetlake.workload.registry import query
 
@@ -34,6 +35,13 @@ def text_search(t):
     return t.assets.filter(X.search_text("D75", "filename", "file_path", "camera_model")).select("id", "file_path")
 
 
+@query("F3_text_search_by_trigrams", "SELECT id, file_path FROM assets WHERE lower(filename) LIKE '%c3/en%' OR lower(file_path) LIKE '%c3/en%' OR lower(coalesce(camera_model, '')) LIKE '%c3/en%'")
+def text_search_by_trigrams(t):
+    path, names = scratch_path(t.spark, "searchable"), ["filename", "file_path", "camera_model"]
+    I.write_searchable(t.assets.select("id", *names), path, names, "file_path")
+    return I.search(t.spark, path, "C3/EN", names).select("id", "file_path")
+
+
 @query("F4_asset_type", "SELECT id, file_path FROM assets WHERE file_type = 'RAW'")
 def asset_type(t):
     return X.filter_assets(t.assets, X.AssetFilter(kind="RAW"), path="file_path").select("id", "file_path")

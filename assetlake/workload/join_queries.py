@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assetlake.functions import paths as P
+from assetlake.operators import folders as M
 from assetlake.operators import joins as J
 from assetlake.operators import sets as U
 from assetlake.operators.skew import attach
@@ -93,6 +94,19 @@ def backup_comparison(t):
     return J.compare_backup(*backup_sides(t)).select("rel_path", "outcome")
 
 
+@query("J8_backup_comparison_by_folder", f"WITH {COMPARED_SQL} SELECT rel_path, outcome FROM cmp")
+def backup_comparison_by_folder(t):
+    return M.compare_backup_by_folder(*backup_sides(t)).select("rel_path", "outcome")
+
+
+@query("J8_backup_trees", f"""
+WITH {COMPARED_SQL}, steps AS (SELECT string_split(rel_path, '/') AS s, outcome FROM cmp), up AS (SELECT s, outcome, unnest(range(len(s))) AS n FROM steps)
+SELECT array_to_string(s[:n], '/') AS folder, count(*) FILTER (outcome <> 'extra') AS files_1, count(*) FILTER (outcome <> 'missing') AS files_2, bool_and(outcome = 'verified') AS same
+FROM up GROUP BY 1""")
+def backup_trees(t):
+    return M.compare_trees(*backup_sides(t))
+
+
 RECONCILED_SQL = """cat AS (SELECT DISTINCT catalog_file_path AS path, sha256 FROM catalog_assets),
 cats AS (SELECT coalesce(k.path, d.path) AS path, CASE WHEN d.path IS NULL THEN 'B' WHEN k.path IS NULL THEN 'C' ELSE 'A' END AS category
   FROM cat k FULL JOIN inventory d ON k.path = d.path WHERE k.path IS NOT NULL OR d.file_type <> 'OTHER')"""
