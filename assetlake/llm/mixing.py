@@ -16,7 +16,7 @@ TASK_BLOCKS = 2_000_000
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, limit: float) -> DataFrame:
-    """``source, source_size, blocks, weight, target, quota, first`` from one row per source.
+    """``source, source_size, width, blocks, weight, target, quota, first`` from one row per source.
 
     Weights repeat over the sources in code point order, null last. The targets share ``share``
     times all sizes by weight; a target stops at ``limit`` times its source, and what it leaves
@@ -43,7 +43,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, limit
         .withColumn("target", F.when(stopped, F.col("cap")).otherwise(F.col("weight") * F.col("_level.left") / F.col("_level.rest")))
         .withColumn("quota", F.coalesce(quota, F.lit(0)))
         .withColumn("first", F.coalesce(F.sum("quota").over(ranked.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .select("source", "source_size", "blocks", "weight", "target", "quota", "first"))
+        .select("source", "source_size", "width", "blocks", "weight", "target", "quota", "first"))
 
 
 def draw_blocks(targets: DataFrame, shard_blocks: int, seed: int) -> DataFrame:
@@ -81,7 +81,8 @@ def mix(
     """The targets per source, the drawn blocks, and the documents' pieces with their draws.
 
     A source's documents, in order of key, form one line of words, cut into blocks of
-    ``block_words``. Pieces: ``row, source, key, size, source_size, target, block, words, start,
+    ``block_words``, or of a hundredth of a source that is smaller than a hundred of these, so that a target is met
+    within about a hundredth. Pieces: ``row, source, key, size, source_size, target, block, words, start,
     draws``, where ``start`` counts the words of the document before the piece. A document
     without words has one piece without a block. Null sources are one source; null and repeated
     keys are kept. A hot source only has more blocks: every shuffle is by block, ticket or shard.
@@ -90,19 +91,20 @@ def mix(
     rows = pin(docs.select(
         F.col(source).alias("source"), F.col(key).alias("key"), words_in(text).alias("size"), F.xxhash64(text).alias("hash")))
     lined = pin(prefix_sums(rows, ["key", "hash", "size"], "size", by=["source"]))
-    sizes = lined.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn(
-        "blocks", F.ceil(F.col("source_size") / block_words))
+    width = F.least(F.lit(block_words), F.greatest(F.expr("source_size div 100"), F.lit(1))).cast("long")
+    sizes = lined.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("width", width).withColumn(
+        "blocks", F.ceil(F.col("source_size") / F.col("width")))
     targets = pin(source_targets(sizes, weights, share, limit))
     drawn = draw_blocks(targets, shard_blocks, seed)
     # Spark takes what is drawn for as small as the table of sources, and would broadcast it.
     times = drawn.groupBy("source", "block").agg(F.count("*").alias("draws")).hint("merge")
-    span = F.expr(f"if(size > 0, sequence(before div {block_words}, (before + size - 1) div {block_words}), null)")
-    start = F.greatest(F.col("block") * block_words - F.col("before"), F.lit(0))
-    end = F.least((F.col("block") + 1) * block_words - F.col("before"), F.col("size"))
-    pieces = lined.withColumn("block", F.explode_outer(span)).withColumn("start", start).withColumn("words", end - F.col("start"))
-    pieces = null_safe_join(pieces, times, ["source", "block"], "left")
+    span = F.expr("if(size > 0, sequence(before div width, (before + size - 1) div width), null)")
+    start = F.greatest(F.col("block") * F.col("width") - F.col("before"), F.lit(0))
+    end = F.least((F.col("block") + 1) * F.col("width") - F.col("before"), F.col("size"))
     # One row per source, but their number has no bound: Spark decides how to join.
-    pieces = null_safe_join(pieces, targets.select("source", "source_size", "target"), ["source"])
+    placed = null_safe_join(lined, targets.select("source", "source_size", "target", "width"), ["source"])
+    pieces = placed.withColumn("block", F.explode_outer(span)).withColumn("start", start).withColumn("words", end - F.col("start"))
+    pieces = null_safe_join(pieces, times, ["source", "block"], "left").drop("width")
     return targets, drawn, pieces.withColumn("draws", F.coalesce("draws", F.lit(0)))
 
 

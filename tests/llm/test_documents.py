@@ -86,6 +86,22 @@ def test_mix(docs, empty):
     assert mixing.taken_words(mixing.mix(empty)[2]).count() == 0
 
 
+def test_small_sources_come_near_their_targets(spark):
+    """Sources of 30 to 3,000 words with the default block: within a word or a fiftieth of each target."""
+    rows = [(100 * i + j, f"s{i:02d}", " ".join(["w"] * (10 + 11 * i * j))) for i in range(30) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = mixing.taken_words(mixing.mix(docs)[2]).collect()
+    sizes = {}
+    for _, s, text in rows:
+        sizes[s] = sizes.get(s, 0) + counted(text)
+    targets = plain_targets(sizes, (3, 1, 2), 1.5, 2.0)
+    for s, target in targets.items():
+        taken = sum(r.taken for r in out if r.source == s)
+        assert abs(taken - target) <= max(1, target / 50), (s, taken, target)
+    assert all(r.taken <= 2 * r["size"] for r in out)
+    assert abs(sum(r.taken for r in out) - 1.5 * sum(sizes.values())) <= 30 + sum(sizes.values()) / 100
+
+
 def test_drawn_blocks(docs):
     targets, drawn, _ = mixing.mix(docs, block_words=16, shard_blocks=50)
     quota = {r.source: (r.quota, r.blocks) for r in targets.collect()}
