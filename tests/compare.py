@@ -50,6 +50,8 @@ def compare(spark, con, folder, name, fn, sql) -> str | None:
     if sorted(got.columns) != sorted(want.columns):
         return f"columns {sorted(got.columns)} against {sorted(want.columns)}"
     a, b = rows_of(got), rows_of(want)
+    if len(got) and (differ := {c: k for c, k in kinds(got).items() if k != kinds(want)[c] and got[c].notna().all()}):
+        return f"types {differ} against {({c: kinds(want)[c] for c in differ})}"
     if a == b:
         return None
     sa, sb = set(a), set(b)
