@@ -121,10 +121,16 @@ def device_short(camera: Column) -> Column:
     return F.coalesce(lookup(C.DEVICE_SHORT, camera), F.lit(C.SCREENSHOT_DEFAULT))
 
 
-def document_type(text: Column) -> Column:
-    """First document class with one of its words anywhere in the text, in any case."""
+def document_type(text: Column, whole_numbers: bool = False) -> Column:
+    """First document class with one of its words anywhere in the text, in any case.
+
+    With ``whole_numbers`` a digit at an end of a word (``1099``, ``w2``) must also end the number in the text, as the
+    counter of ``IMG_001099`` names no form.
+    """
     low, out = F.lower(text), None
     for label, words in C.DOCUMENT_WORDS.items():
+        if whole_numbers:
+            words = [("(?<![0-9])" if w[0].isdigit() else "") + w + ("(?![0-9])" if w[-1].isdigit() else "") for w in words]
         hit = low.rlike("|".join(words))
         out = F.when(hit, label) if out is None else out.when(hit, label)
     return out.otherwise(C.DOCUMENT_DEFAULT)

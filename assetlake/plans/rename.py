@@ -124,7 +124,7 @@ def document_plan(files: DataFrame) -> DataFrame:
     """Names for documents: date, type, stem and content hash."""
     path, taken = F.col("path"), D.first_parsed(F.col("date_taken"), F.col("modified"))
     name = F.concat(
-        F.coalesce(F.date_format(taken, "yyyy-MM-dd"), F.lit("NODATE")), F.lit("_"), F.initcap(N.document_type(P.name(path))), F.lit("_"),
+        F.coalesce(F.date_format(taken, "yyyy-MM-dd"), F.lit("NODATE")), F.lit("_"), F.initcap(N.document_type(P.name(path), whole_numbers=True)), F.lit("_"),
         P.stem(path), F.lit("_"), F.substring("sha256", 1, 8), P.suffix(path))
     return files.select(path.alias("old_path"), P.join_path(P.parent(path), name).alias("new_path"))
 

@@ -159,3 +159,12 @@ def test_deep_pages_without_a_sort_of_the_table(spark):
     assert [x.path for x in L.page(df, 50, 30, "path", top_rows=90)[0].collect()] == [x[0] for x in sorted(rows)[1470:1500]]
     plan = L.page(df, 100, 30, "size_bytes", top_rows=90)[0]._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_a_counter_in_a_document_name_is_no_tax_form(spark):
+    from assetlake.plans.rename import document_plan
+
+    names = {"IMG_001099.NEF": "Document", "IMG_109900.NEF": "Document", "scan_1099.pdf": "Tax", "form w2.pdf": "Tax", "raw2024.pdf": "Document", "tax99.pdf": "Tax"}
+    df = spark.createDataFrame([(f"/d/{n}", "2023:03:15 14:30:22", None, "b7e2f1a9ff") for n in names], "path string, date_taken string, modified string, sha256 string")
+    got = {r.old_path[3:]: r.new_path.split("_")[1] for r in document_plan(df).collect()}
+    assert got == names
