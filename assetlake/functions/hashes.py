@@ -48,7 +48,9 @@ def average_bits(pixels: Column) -> Column:
     """One bit per grey value: 1 where it is above the mean."""
     nums = pixels.cast("array<double>")
     mean = F.aggregate(nums, F.lit(0.0), lambda a, x: a + x) / F.size(nums)
-    return F.array_join(F.transform(nums, lambda v: F.when(v > mean, "1").otherwise("0")), "")
+    # In a list of one, or Spark would work out the mean anew for each value.
+    once = F.array(F.struct(nums.alias("v"), mean.alias("m")))
+    return F.transform(once, lambda p: F.array_join(F.transform(p["v"], lambda v: F.when(v > p["m"], "1").otherwise("0")), ""))[0]
 
 
 def bits_to_hex(bits: Column) -> Column:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from assetlake.operators.duplicates import similar_groups
-from assetlake.operators.skew import null_safe_join
+from assetlake.operators.skew import key_groups, null_safe_join  # noqa: F401
 from assetlake.session import pin, tune
 
 # Java's \s has other members than these six, so the set is written out.
@@ -57,24 +55,6 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     return similar_groups(named).select(F.col("phash").alias("node"), "component")
 
 
-def key_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
-    """The rows of each key as one table, from batches sorted by the keys (numbers without nulls)."""
-    waiting, last = [], None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        found = np.stack([batch.column(c).to_numpy() for c in keys], axis=1)
-        starts = [0, *(np.flatnonzero((found[1:] != found[:-1]).any(axis=1)) + 1).tolist(), len(found)]
-        for a, b in zip(starts, starts[1:]):
-            if waiting and tuple(found[a]) != last:
-                yield pa.Table.from_batches(waiting)
-                waiting = []
-            waiting.append(batch.slice(a, b - a))
-            last = tuple(found[a])
-    if waiting:
-        yield pa.Table.from_batches(waiting)
-
-
 def shuffled(value: Column, size: Column, seed: Column, rounds: int = 12, inverse: bool = False) -> Column:
     """The place of ``value`` under a pseudorandom permutation of 0 .. size-1 (swap-or-not).
 
