@@ -23,18 +23,24 @@ def sort_by(df: DataFrame, column: str, descending: bool = False, tie: str = "pa
     return df.orderBy(c, tie) if column != tie else df.orderBy(c)
 
 
-def _at_or_after(bound: Row, sort: str, descending: bool, tie: str, kinds: dict[str, DataType]) -> Column:
-    """Whether a row stands at ``bound`` or after it. Ascending order has nulls first, descending last."""
+def _range_of(bounds: list[Row], sort: str, descending: bool, tie: str, kinds: dict[str, DataType]) -> Column:
+    """How many of ``bounds`` a row stands at or after. Ascending order has nulls first, descending last.
 
-    def after(name: str, down: bool) -> Column:
-        c, v = F.col(name), bound[name]
-        if v is None:
-            return F.lit(False) if down else c.isNotNull()
-        v = F.lit(v).cast(kinds[name])
-        return F.coalesce(c < v, F.lit(True)) if down else F.coalesce(c > v, F.lit(False))
+    The bounds are one list and the row's keys a list of one: written out for each bound, the keys, which may be long
+    to work out, would make a plan and code that fill the driver.
+    """
+    keys = list(dict.fromkeys([sort, tie]))
+    made = F.array(*[F.struct(*[F.lit(b[k]).cast(kinds[k]).alias(k) for k in keys]) for b in bounds])
+
+    def after(row: Column, bound: Column, name: str, down: bool) -> Column:
+        r, b = row[name], bound[name]
+        return F.coalesce(r < b, r.isNull() & b.isNotNull()) if down else F.coalesce(r > b, r.isNotNull() & b.isNull())
+
+    def reached(row: Column, bound: Column) -> Column:
+        same = lambda k: row[k].eqNullSafe(bound[k])
+        return after(row, bound, sort, descending) | (same(sort) & (after(row, bound, tie, False) | same(tie)))
 
-    same = lambda name: F.col(name).eqNullSafe(F.lit(bound[name]).cast(kinds[name]))
-    return after(sort, descending) | (same(sort) & (after(tie, False) | same(tie)))
+    return F.transform(F.array(F.struct(*keys)), lambda row: F.size(F.filter(made, lambda bound: reached(row, bound))))[0]
 
 
 def page(df: DataFrame, number: int, size: int, sort: str = "filename", descending: bool = False,
@@ -57,8 +63,8 @@ def page(df: DataFrame, number: int, size: int, sort: str = "filename", descendi
     part, skip, left = df, first, None
     while skip + size > top_rows and left != 0:
         bounds = part.select(*keys).orderBy(F.xxhash64(*keys), *order).limit(cuts).collect()
-        found = part.select(sum((_at_or_after(b, sort, descending, tie, kinds).cast("int") for b in bounds), F.lit(0)).alias("range"))
-        counts = sorted(found.groupBy("range").count().collect())
+        index = _range_of(bounds, sort, descending, tie, kinds)
+        counts = sorted(part.select(index.alias("range")).groupBy("range").count().collect())
         ends, at = [], 0
         for _, n in counts:
             ends.append((at, at + n))
@@ -67,7 +73,6 @@ def page(df: DataFrame, number: int, size: int, sort: str = "filename", descendi
         if not touched or len(touched) == len(counts):
             break
         ranges = [r for r, _ in touched]
-        index = sum((_at_or_after(b, sort, descending, tie, kinds).cast("int") for b in bounds), F.lit(0))
         part, skip = part.filter(index.between(ranges[0], ranges[-1])), skip - touched[0][1]
         left = sum(n for r, n in counts if r in ranges) - size
     rows = part.orderBy(*order).offset(skip).limit(size)

@@ -168,3 +168,11 @@ def test_a_counter_in_a_document_name_is_no_tax_form(spark):
     df = spark.createDataFrame([(f"/d/{n}", "2023:03:15 14:30:22", None, "b7e2f1a9ff") for n in names], "path string, date_taken string, modified string, sha256 string")
     got = {r.old_path[3:]: r.new_path.split("_")[1] for r in document_plan(df).collect()}
     assert got == names
+
+
+def test_deep_page_plans_do_not_grow_with_the_cuts(spark):
+    from assetlake.operators import sorting as L
+
+    df = spark.range(3000).select(F.concat(F.lit("/p"), F.format_string("%05d", "id")).alias("path"), (F.col("id") % 7).alias("size_bytes"))
+    plans = [L.page(df, 50, 30, "size_bytes", top_rows=90, cuts=n)[0]._jdf.queryExecution().optimizedPlan().toString().count("format_string") for n in (3, 60)]
+    assert plans[1] <= plans[0]
