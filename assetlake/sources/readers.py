@@ -109,8 +109,9 @@ def load_audit(spark: SparkSession, path: str) -> DataFrame:
     if low.endswith(".json"):
         # Values arrive as text or numbers; both are read as text and typed afterwards.
         rec = ", ".join(f"{part.split(' ')[0]}:string" for part in schemas.INVENTORY.split(", "))
-        doc = spark.read.schema(f"file_records array<struct<{rec}>>").json(path, multiLine=True)
-        return to_inventory(doc.select(F.explode("file_records").alias("r")).select("r.*"))
+        # Each file is read once as a text; a file may hold a document or a list of them.
+        docs = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"array<struct<file_records:array<struct<{rec}>>>>")).alias("d"))
+        return to_inventory(docs.select(F.explode("d.file_records").alias("r")).select("r.*"))
     raise ValueError(f"audit data must be .csv or .json: {path}")
 
 
