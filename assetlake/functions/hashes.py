@@ -21,15 +21,17 @@ def quick_hash(content: Column, first: int = SCREEN_BYTES) -> Column:
     return F.sha2(F.substring(content.cast("binary"), 1, first), 256)
 
 
-def file_hashes(path: str, first: int | None = None, chunk: int = 4 << 20) -> tuple[str | None, str | None, str | None]:
-    """MD5 and SHA-256 of a file, or of its first bytes, in chunks; or the error in their place, whatever it is.
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path and its name there. A path with a scheme is a name, not an encoded address: a blank or a percent sign in it stands for itself."""
+    scheme, sign, rest = path.partition("://")
+    return pafs.FileSystem.from_uri(f"{scheme}://{quote(rest, safe='/:@[]')}") if sign else (pafs.LocalFileSystem(), path)
+
 
-    A path with a scheme is a name, not an encoded address: a blank or a percent sign in it stands for itself.
-    """
+def file_hashes(path: str, first: int | None = None, chunk: int = 4 << 20) -> tuple[str | None, str | None, str | None]:
+    """MD5 and SHA-256 of a file, or of its first bytes, in chunks; or the error in their place, whatever it is."""
     md5, sha256, left = hashlib.md5(), hashlib.sha256(), first
     try:
-        scheme, sign, rest = path.partition("://")
-        system, name = pafs.FileSystem.from_uri(f"{scheme}://{quote(rest, safe='/:@[]')}") if sign else (pafs.LocalFileSystem(), path)
+        system, name = file_system(path)
         with system.open_input_stream(name, compression=None) as source:
             while data := source.read(chunk if left is None else min(chunk, left)):
                 md5.update(data)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetlake import schemas
 from assetlake.functions import constants as C
+from assetlake.functions import hashes as H
 from assetlake.functions import paths as P
 from assetlake.operators.sets import union_rows
 
@@ -84,6 +87,27 @@ def write_paths(df: DataFrame, path: str, column: str = "path", mode: str = "err
     df.select(F.col(column).alias("value")).write.mode(mode).text(path)
 
 
+def write_text_files(df: DataFrame, path: str, key: str, text: str) -> int:
+    """Each text in a file of its own with a line end after it; returns the number of files.
+
+    A task writes its files into one folder, so folders are as many as tasks and no driver moves files one by one. Rows stand in an
+    order in each task, so that a repeated task writes the same files again. A null text is an empty line.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n = TaskContext.get().partitionId(), 0
+        system, folder = H.file_system(f"{path}/part-{part:05d}")
+        system.create_dir(folder, recursive=True)
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with system.open_output_stream(f"{folder}/{n:08d}-{name}.txt", compression=None) as out:
+                    out.write(f"{'' if body is None else body}\n".encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    spread = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).repartition("key").sortWithinPartitions("key", "text")
+    return spread.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def append_rows(df: DataFrame, path: str) -> None:
     """Append to an index or log table."""
     df.write.mode("append").parquet(path)

@@ -185,3 +185,30 @@ def test_databases_are_read_in_parts(spark, tmp_path):
     assert both.rdd.getNumPartitions() == 6 and both.groupBy("catalog_path").count().count() == 2
     assert S.read_database(spark, url, '(select * from images where "id" = 7) x', "id").rdd.getNumPartitions() == 1
     assert S.read_database(spark, url, "images").rdd.getNumPartitions() == 1
+
+
+def test_texts_in_files_of_their_own_need_few_folders(spark, tmp_path):
+    from pathlib import Path
+
+    from assetlake.sources.writers import write_text_files
+
+    rows = [(i, f"text {i} \u00e9") for i in range(300)] + [(7, "again"), (8, None), (8, "")]
+    out = f"{tmp_path}/a b%20c"
+    assert write_text_files(spark.createDataFrame(rows, "k long, t string"), out, "k", "t") == 303
+    files = [p for p in Path(out).rglob("*") if p.is_file()]
+    assert sorted(p.read_text() for p in files) == sorted((t or "") + "\n" for _, t in rows)
+    assert len({p.parent for p in files}) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_audit_documents_are_read_once(spark, tmp_path):
+    import json
+
+    from assetlake.sources.readers import load_audit
+
+    doc = lambda n: {"file_records": [{"path": f"/{n}/{i}", "size_bytes": i} for i in range(200)]}
+    (tmp_path / "a.json").write_text(json.dumps(doc("a"), indent=2))
+    (tmp_path / "b.json").write_text(json.dumps([doc("b"), doc("c")]))
+    for name, n in (("a", 200), ("b", 400)):
+        got = load_audit(spark, f"{tmp_path}/{name}.json")
+        assert got.select("path", "size_bytes").distinct().count() == n
+    assert "Scan json" not in got._jdf.queryExecution().executedPlan().toString()
