@@ -318,6 +318,7 @@ def test_sum_of_squares_choice():
 
 
 def test_slope_of_the_ordinal_loss():
+    import numpy as np
 
     rng = np.random.default_rng(1)
     rows = [(rng.choice(20, 5, replace=False), rng.random(5)) for _ in range(30)]
