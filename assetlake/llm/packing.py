@@ -81,13 +81,13 @@ class WordTokens(dict):
 
 
 @functools.cache
-def word_tokens(path: str) -> WordTokens:
+def word_tokens(path: str, most_bytes: int = 60_000_000) -> WordTokens:
     """One memory for all tasks of a Python worker."""
-    return WordTokens(path)
+    return WordTokens(path, most_bytes)
 
 
-def word_tokens_of(path: str) -> Callable[[bytes | None], bytes]:
-    return word_tokens(path).of
+def word_tokens_of(path: str, most_bytes: int = 60_000_000) -> Callable[[bytes | None], bytes]:
+    return word_tokens(path, most_bytes).of
 
 
 class Windows:
