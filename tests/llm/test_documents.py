@@ -269,6 +269,54 @@ def test_near_dedup_meets_in_tables_of_fingerprints(spark):
         assert {r.root for r in met if r["class"] <= 10} >= {0} and all(r.root <= r["class"] for r in met)
 
 
+def test_blocks_of_a_group_leave_only_pairs_that_unite(spark):
+    rng, tables = np.random.default_rng(6), shingles.Tables(8, 10)
+    draw = lambda k: rng.integers(0, 1 << 63, k, dtype=np.uint64)
+    base, other = draw(200), draw(200)
+    sets = [np.concatenate([rng.permutation(base)[:196], draw(4)]) for _ in range(150)]  # all alike
+    sets += [np.concatenate([rng.permutation(base)[:k], draw(200 - k)]) for k in range(170, 190)]  # on both sides of 0.8
+    sets += [np.concatenate([other[12 * k:], draw(12 * k)]) for k in range(8)] + [draw(150) for _ in range(12)]  # a chain, and sets alone
+    sets = [np.sort(x) for x in sets]
+    rows = [(k, len(x), shingles.fingerprint(x, 8).view(np.int64).tolist(), k % 2, k) for k, x in enumerate(sets)]
+    rows += [(k + 1000, *r[1:3], 2, k + 1000) for k, r in enumerate(rows[:2])]
+    held = spark.createDataFrame([(k + m, x.view(np.int64).tolist()) for m, part in ((0, sets), (1000, sets[:2])) for k, x in enumerate(part)], "class long, shingles array<long>")
+    named = spark.createDataFrame(rows, "class long, n long, code array<long>, bucket long, component long")
+
+    def label(pairs):
+        to = {r[0]: r[0] for r in rows}
+        for a, b in pairs:
+            to = {k: min(to[a], to[b]) if v in (to[a], to[b]) else v for k, v in to.items()}
+        return to
+
+    bucket, of = {r[0]: r[3] for r in rows}, {r[0]: sets[r[0] % 1000] for r in rows}
+    near = {(a, b) for a in of for b in of if a < b and bucket[a] == bucket[b] and shingles._alike(of[a], of[b], 0.8)}
+    assert len(near) > 5000 and len(set(label(near).values())) > 10
+    for block_rows in (2048, 40, 7):
+        got = [(r.a, r.b) for r in shingles._similar_in_blocks(named, held, 0.8, tables, block_rows).collect()]
+        assert set(got) <= near and label(got) == label(near)
+        assert len(got) < len(rows) * (1 if block_rows > 7 else 2)
+
+
+def test_the_largest_component_meets_only_the_others(spark):
+    from itertools import combinations
+
+    part = {k: 0 if k < 600 else k // 2 for k in range(612)} | {k: k for k in range(1000, 1090)}
+    named = spark.createDataFrame([(k, 9, [k], 5 if k < 1000 else 6, c) for k, c in part.items()], "class long, n long, code array<long>, bucket long, component long")
+    dealt = shingles._against_the_rest(named, F.count("*") / 50).collect()
+    tasks = {}
+    for r in dealt:
+        assert r.own in (r.i, r.j) and (part[r["class"]] == r.component)
+        tasks.setdefault((r.bucket, r.i, r.j), []).append(r)
+    met = set()
+    for (_, i, j), rows in tasks.items():
+        assert len(rows) <= 150
+        met |= {tuple(sorted((u["class"], v["class"]))) for u, v in combinations(rows, 2) if {u.own, v.own} == {i, j}}
+    for low, high in ((0, 612), (1000, 1090)):
+        assert {(a, b) for a, b in combinations([k for k in part if low <= k < high], 2) if part[a] != part[b]} <= met
+    # A row of the largest once, of the others once for each block.
+    assert sum(r["class"] < 600 for r in dealt) == 600 and sum(600 <= r["class"] < 612 for r in dealt) == 12 * 13
+
+
 def test_packing(docs, empty):
     public = pytest.importorskip("public_tokenizers")
     from functools import partial
